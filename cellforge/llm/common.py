@@ -68,6 +68,17 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, tot
     return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
 
 
+def hot_left_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = 10_000) -> DataFrame:
+    """The left form of :func:`hot_join`. If all of ``small`` (counted) is small, it is broadcast whole."""
+    if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return big.join(F.broadcast(small), keys, "left")
+    least = max(2, total // hot_keys)
+    hot, cold = small.where(F.col(weight) >= least).withColumn("_hot", F.lit(True)), small.where(F.col(weight) < least)
+    first = big.join(F.broadcast(hot), keys, "left")
+    rest = first.where("_hot is null").select(*big.columns).join(cold, keys, "left")
+    return first.where("_hot is not null").drop("_hot").unionByName(rest)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -102,3 +113,18 @@ def with_key(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64("text")]
     parts = shuffle_parts(docs.sparkSession)
     return keep(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()), name)
+
+
+def stash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(doc_id, text, _c0, _c1, ...): all other columns under neutral names, so that none can clash."""
+    plain = docs.toDF(*[f"_c{n}" for n in range(len(docs.columns))])
+    at = {c: n for n, c in reversed(list(enumerate(docs.columns)))}
+    rest = [f"_c{n}" for n, c in enumerate(docs.columns) if n not in (at[id_col], at[text_col])]
+    return plain.select(F.col(f"_c{at[id_col]}").alias("doc_id"), F.col(f"_c{at[text_col]}").alias("text"), *rest), rest
+
+
+def unstash(docs: DataFrame, produced: list[str], id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """The columns of :func:`stash` under their own names; a name the operator produces gives way to the operator's."""
+    at = {c: n for n, c in reversed(list(enumerate(docs.columns)))}
+    names = {at[id_col]: "doc_id", at[text_col]: "text"}
+    return [F.col(names.get(n, f"_c{n}")).alias(c) for n, c in enumerate(docs.columns) if c not in produced]
