@@ -10,7 +10,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def normal_words(b: np.ndarray, offsets: np.ndarray, stem_bytes: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def normal_words(b: np.ndarray, offsets: np.ndarray, stem_bytes: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hash, stem hash, row offsets in words): ASCII lower case, punctuation at both ends stripped.
 
     A word of nothing but punctuation is left out. The stem is the word's first ``stem_bytes`` bytes,

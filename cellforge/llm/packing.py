@@ -22,12 +22,15 @@ from . import common
 CAPACITY = 1024
 END_ID = 2
 #: Pricing rounds of the program, and how sharply uncovered demand raises a length's price.
-ROUNDS = 300
-SHARPNESS = 4.0
+ROUNDS = 150
+SHARPNESS = 0.5
+#: Premium on long pieces: among configurations that fill a sequence, those of few long pieces come
+#: first, and short pieces stay to fill the gaps of what is rounded.
+PREMIUM = 0.3
 #: Part of a configuration's remaining demand that one round takes.
 STEP = 0.5
-#: Code points below this are split alike by both tokenizer libraries, whatever their Unicode tables.
-FAST_LEAD_BYTE = 0xD5
+#: Characters below this are split alike by both tokenizer libraries, whatever their Unicode tables.
+FIRST_SLOW = "\u0500"
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -62,8 +65,7 @@ def encoder(json_path: str, ranks_path: str | None):
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(t: str):
-            lead = np.frombuffer(t.encode(), np.uint8)
-            return fast.encode_ordinary(t) if not len(lead) or lead.max() < FAST_LEAD_BYTE else slow(t)
+            return fast.encode_ordinary(t) if t.isascii() or max(t) < FIRST_SLOW else slow(t)
 
     _encoders[json_path, ranks_path] = encode
     return encode
@@ -191,7 +193,7 @@ def configure(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
         if not len(live):
             break
         behind = left[live] / need[live]
-        weight = lengths[live] * np.exp(SHARPNESS * (behind - behind.mean())) ** (1 / SHARPNESS)
+        weight = lengths[live] * (1 + PREMIUM * lengths[live] / capacity) * np.exp(SHARPNESS * (behind - behind.mean()))
         copies = price(lengths[live], weight, left[live], capacity)
         used = np.flatnonzero(copies)
         times = max(1, int(STEP * int((left[live][used] // copies[used]).min())))

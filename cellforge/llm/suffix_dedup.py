@@ -20,8 +20,8 @@ GRAM = 40
 ARRAY_BYTES = 2 << 20
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols at least (symbols below 65,536)."""
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """All suffixes in order (symbols below 65,535, a suffix before those it begins)."""
     n = len(symbols)
     if n < 2:
         return np.arange(n)
@@ -36,8 +36,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[sa] = start
-    done, h = 4, 4
-    while done < depth:
+    h = 4
+    while True:
         lone = head & np.append(head[1:], True)
         live = np.flatnonzero(~lone)
         if not len(live):
@@ -53,7 +53,6 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         start[live] = np.maximum.accumulate(np.where(fresh, live, 0))
         rank[pos] = start[live]
         h *= 2
-        done = h
     return sa
 
 
@@ -105,7 +104,7 @@ def _index(contexts: list[np.ndarray], window: int):
     body = off < sizes[which] - 1
     text[body] = np.concatenate(contexts)
     text[~body] = 256 + np.arange(len(contexts))  # each its own, so that no match crosses it
-    sa = suffix_array(text, window)
+    sa = suffix_array(text)
     return text, which, off, sizes, sa, kasai(text, sa, window)
 
 
