@@ -115,16 +115,16 @@ def with_key(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
     return keep(docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()), name)
 
 
-def stash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """(doc_id, text, _c0, _c1, ...): all other columns under neutral names, so that none can clash."""
+def stash(docs: DataFrame, named: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, list[str]]:
+    """The ``named`` columns and _c0, _c1, ...: all others under neutral names, so that none can clash."""
     plain = docs.toDF(*[f"_c{n}" for n in range(len(docs.columns))])
     at = {c: n for n, c in reversed(list(enumerate(docs.columns)))}
-    rest = [f"_c{n}" for n, c in enumerate(docs.columns) if n not in (at[id_col], at[text_col])]
-    return plain.select(F.col(f"_c{at[id_col]}").alias("doc_id"), F.col(f"_c{at[text_col]}").alias("text"), *rest), rest
+    rest = [f"_c{n}" for n in range(len(docs.columns)) if n not in [at[c] for c in named]]
+    return plain.select(*[F.col(f"_c{at[c]}").alias(c) for c in named], *rest), rest
 
 
-def unstash(docs: DataFrame, produced: list[str], id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+def unstash(docs: DataFrame, produced: list[str], named: tuple[str, ...] = ("doc_id", "text")) -> list[Column]:
     """The columns of :func:`stash` under their own names; a name the operator produces gives way to the operator's."""
     at = {c: n for n, c in reversed(list(enumerate(docs.columns)))}
-    names = {at[id_col]: "doc_id", at[text_col]: "text"}
+    names = {at[c]: c for c in named}
     return [F.col(names.get(n, f"_c{n}")).alias(c) for n, c in enumerate(docs.columns) if c not in produced]

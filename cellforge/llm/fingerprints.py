@@ -69,6 +69,7 @@ def texts_of(sig: np.ndarray) -> list[str]:
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with ``fingerprint``; one pass, no shuffle. A null text is an empty one."""
+    docs = docs.drop("fingerprint")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

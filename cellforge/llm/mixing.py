@@ -52,7 +52,10 @@ def _position(u: Column, ramp: Column) -> Column:
     return 2 * u / ((1 - ramp) + F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u))
 
 
-def plan(docs: DataFrame, size: Column, id_col: str = "doc_id", weights=WEIGHTS, ramps=RAMPS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+MADE = ["size", "source_size", "target", "passes", "taken", "offset", "ramp", "position"]
+
+
+def plan(docs: DataFrame, size: Column, weights=WEIGHTS, ramps=RAMPS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Adds to the documents: size, source_size, target, passes, taken, offset, ramp and position.
 
     A source's documents form a stream in the order of md5(seed, id). The mix takes the stream
@@ -63,16 +66,19 @@ def plan(docs: DataFrame, size: Column, id_col: str = "doc_id", weights=WEIGHTS,
     Running sums are split: documents meet in one task by (source, first digits of the key), and
     the sums of these buckets are added up apart, so a source with a third of all rows is spread
     over thousands of groups. Nulls: no text has size 0; a null source is a source of its own,
-    the last; a null id is ordered as the text "null". Repeated rows are documents of their own.
+    the last; a null id is ordered as the text "null". Repeated rows are documents of their own. Extra columns
+    pass through, unless the operator makes one of that name.
     """
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    keep_cols = docs.columns
-    d = docs.withColumns({"size": size.cast("long"), "_k": key}).withColumn("_b", F.substring("_k", 1, BUCKET_HEX)).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    named = ("doc_id", "source", "_size")
+    sized = docs.withColumn("_size", size.cast("long"))
+    plain, _ = common.stash(sized, named)
+    d = plain.withColumnRenamed("_size", "size").withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX)).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     src = targets(d.select("source", "size"), weights, ramps, max_epochs).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     buckets = d.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("_s", "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before")).join(src, "_s")
-    own = Window.partitionBy("_s", "_b").orderBy("_k", F.col(id_col), "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("_s", "_b").orderBy("_k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(own), F.lit(0))).join(buckets, ["_s", "_b"])
     d = d.withColumn("offset", F.col("_before") + F.col("_in"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -81,7 +87,7 @@ def plan(docs: DataFrame, size: Column, id_col: str = "doc_id", weights=WEIGHTS,
     d = d.withColumn("passes", F.when(F.col("size") > 0, F.col("_w") + F.when(F.col("offset") + F.col("size") / 2 <= rest, 1).otherwise(0)).otherwise(0).cast("int"))
     u = F.least(F.lit(1.0), (F.col("offset") + F.col("size") / 2) / F.col("target"))
     d = d.withColumns({"taken": F.col("passes") * F.col("size"), "position": F.when(F.col("passes") > 0, _position(u, F.col("ramp")))})
-    return d.select(*keep_cols, *[c for c in ("size", "source_size", "target", "passes", "taken", "offset", "ramp", "position")])
+    return d.select(*common.unstash(sized, ["_size", *MADE], named), *MADE)
 
 
 def curriculum(planned: DataFrame) -> DataFrame:

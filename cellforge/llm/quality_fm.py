@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     Without labels of both classes the score is the (smoothed) share of label 1.
     """
+    docs = docs.drop("score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: 2^BITS * (RANK + 1) floats
     at = docs.columns.index(text_col)

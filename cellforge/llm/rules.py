@@ -33,6 +33,9 @@ RULES: dict[str, tuple[str, tuple[int, ...]]] = {
 }
 
 
+MADE = ["n_words", "word_chars", "n_symbols", "n_bangs", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def _repeat_words(h: Column, n: Column) -> Column:
     """Words in windows of 8 that occur twice or more, from the words' hashes. Linear but for one sort,
     which only texts with a repeated window pay for."""
@@ -127,11 +130,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The labelled documents are measured for the calibration, then all documents for the verdict, in
     one pass without a shuffle. Ids in ``labels`` may repeat (the best label counts) or be null
-    (ignored). An empty label table certifies nothing: only the base test rejects.
+    (ignored). An empty label table certifies nothing: only the base test rejects. A null language is
+    a stratum of its own. Extra columns pass through, unless the operator makes one of that name.
     """
+    named = ("doc_id", "text", "lang")
+    plain, _ = common.stash(docs, named)
     have = labels.select("doc_id").where("doc_id is not null").distinct()
-    labelled = common.keep(measure(docs.select("doc_id", "text", "lang").join(have, "doc_id", "left_semi")).drop("text"), "measured")
-    return judge(measure(docs), common.keep(calibrate(labelled, labels).coalesce(1), "cutoffs"))
+    labelled = common.keep(measure(plain.select(*named).join(have, "doc_id", "left_semi")).drop("text"), "measured")
+    out = judge(measure(plain), common.keep(calibrate(labelled, labels).coalesce(1), "cutoffs"))
+    return out.select(*common.unstash(docs, MADE, named), *MADE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

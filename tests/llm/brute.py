@@ -94,3 +94,58 @@ def edited(docs):
 
 def fold(i, m):
     return zlib.crc32(str(i).encode()) % m
+
+
+def measures(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    many = Counter(wins)
+    hit = {p for i, x in enumerate(wins) if many[x] > 1 for p in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def base_failed(m):
+    return m[0] < 20 or 100 * m[4] > 30 * m[0]
+
+
+def targets(sizes, cap=3):
+    """{source: target}: shares by weight 1, 2, 3 in code point order (None last), the excess over the cap reshared until none is above."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: n % 3 + 1 for n, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: cap * sizes[s] for s in over}
+
+
+def mix(docs):
+    """docs: [(id, source, size)] -> {id: copies}, for distinct ids."""
+    by = defaultdict(list)
+    for i, s, n in docs:
+        by[s].append((hashlib.md5(f"mix|{i}".encode()).hexdigest(), i, n))
+    want, out = targets({s: sum(n for _, _, n in v) for s, v in by.items()}), {}
+    for s, v in by.items():
+        size, at = sum(n for _, _, n in v), 0
+        whole = int(want[s] // size) if size else 0
+        for _, i, n in sorted(v):
+            out[i] = (whole + (at + n / 2 <= want[s] - whole * size)) if n else 0
+            at += n
+    return out
+
+
+def pieces(ids, capacity=1024):
+    """[(piece, start, length, crc)] of a document's ids."""
+    import numpy as np
+
+    n = len(ids)
+    first = n % capacity or capacity if n > capacity else n
+    cuts = [0, *range(first, n, capacity), n]
+    return [(p, a, b - a, zlib.crc32(np.asarray(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
