@@ -185,10 +185,12 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame, sets_of: C
         y = span.select("cluster", F.col("is_main").alias("ymain"), F.col("blk").alias("y"), "lo", "hi")
         fits = (F.col("hi") * 100 >= F.col("xlo") * percent) & (F.col("xhi") * 100 >= F.col("lo") * percent)
         tasks = x.join(y, "cluster").where(fits & (F.col("ymain") | (F.col("x") <= F.col("y"))))  # block numbers, not rows: (size / block)^2 at most
-        tasks = tasks.withColumn("same", ~F.col("ymain") & (F.col("x") == F.col("y")))
-        left = cut.where("not is_main").join(tasks, (cut.cluster == tasks.cluster) & (cut.blk == tasks.x)).select(tasks.cluster, "x", "ymain", "y", cut.sid, F.lit(0).alias("side"))
-        right = cut.join(tasks.where("not same"), (cut.cluster == tasks.cluster) & (cut.blk == tasks.y) & (cut.is_main == tasks.ymain)).select(tasks.cluster, "x", "ymain", "y", cut.sid, F.lit(1).alias("side"))
-        far = kept.join(left.unionByName(right), "sid").groupBy("cluster", "x", "ymain", "y").applyInPandas(compare, "a long, b long")
+        tasks = tasks.withColumnRenamed("cluster", "c").withColumn("same", ~F.col("ymain") & (F.col("x") == F.col("y")))
+        names = ["c", "x", "ymain", "y", "sid"]
+        left = cut.where("not is_main").join(tasks, (F.col("cluster") == F.col("c")) & (F.col("blk") == F.col("x"))).select(*names, F.lit(0).alias("side"))
+        on = (F.col("cluster") == F.col("c")) & (F.col("blk") == F.col("y")) & (F.col("is_main") == F.col("ymain"))
+        right = cut.join(tasks.where("not same"), on).select(*names, F.lit(1).alias("side"))
+        far = kept.join(left.unionByName(right), "sid").groupBy("c", "x", "ymain", "y").applyInPandas(compare, "a long, b long")
         links = links.unionByName(far)
     return connected(links, "links").withColumnRenamed("node", "sid")
 
