@@ -48,7 +48,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes tables written by :func:`keep` that nothing will read again."""
+    for df in kept:
+        path = getattr(df, "_scratch", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "left", limit: int = SMALL_ROWS) -> DataFrame:

@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolve: Callable[[list[np.nda
     disputed = common.keep(common.hot_join(occ, by_h.where("c0 <> c1").select("h", "n"), ["h"], "n", total).drop("n"), "disputed")
     many = disputed.count()
     if not many:
-        return spans
+        return _settle(spans, occ, by_h, disputed)
     classes = disputed.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "span")).alias("first"))
     classes = common.keep(classes, "classes")
     again = common.hot_join(disputed, classes.where("n > 1"), ["h", "ctx"], "n", many)
@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolve: Callable[[list[np.nda
     heavy = common.keep(sizes.where(F.col("m") > hot), "heavy")  # at most (classes / hot) rows
     n_heavy, n_classes = heavy.count(), classes.count()
     reps = classes.select("h", "ctx", "n", "first.*")
-    light = reps
+    light, used = reps, ()
     if n_heavy:
         light = common.small_join(reps, heavy.select("h"), "h", "left_anti")
         big = common.small_join(reps, heavy.select("h"), "h", "left_semi")
@@ -155,6 +155,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolve: Callable[[list[np.nda
         if keep_first:
             hit = hit.where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
         spans = spans.unionByName(hit.select("key", F.col("start").alias("s"), (F.col("start") + w).alias("e")))
+        used = (wins, seen)
 
     parts = max(1, -(-n_classes // shard))
     dtype = units.dtype
@@ -169,7 +170,14 @@ def repeated_spans(docs: DataFrame, units: Units, resolve: Callable[[list[np.nda
 
     body = _carry(docs, light, units, as_windows=False).withColumn("_shard", F.pmod(F.xxhash64("h"), F.lit(parts)))
     found = body.groupBy("_shard").applyInPandas(decide, "key long, s int, e int")
-    return spans.unionByName(found)
+    return _settle(spans.unionByName(found), occ, by_h, disputed, classes, heavy, *used)
+
+
+def _settle(spans: DataFrame, *used: DataFrame) -> DataFrame:
+    """The spans, written, so that the tables they come from can go before the texts are moved."""
+    out = common.keep(spans, "spans")
+    common.discard(*used)
+    return out
 
 
 def merged(spans: DataFrame) -> DataFrame:
