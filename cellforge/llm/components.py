@@ -21,28 +21,37 @@ def connected(edges: DataFrame, name: str = "star") -> DataFrame:
     """(node, comp) of every node of the edges (a, b): comp is the least node reachable.
 
     Alternating large and small stars: a logarithmic number of rounds for any shape. A hub with most
-    of the edges is pre-aggregated and its minimum broadcast (see hot_join); every round is written,
-    so the lineage stays short.
+    of the edges is pre-aggregated and its minimum broadcast (see hot_join); while all edges
+    are few (counted), all minima are. Every round is written, so the lineage stays short, by as
+    many tasks as its edges need.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = common.keep(e, name)
     last = None
+    parts = common.shuffle_parts(e.sparkSession)
     while True:
-        total = e.count()
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total = state[0]
         if state == last or not total:
             break
         last = state
+        few, tasks = total < common.SMALL_ROWS, max(1, total // 20_000)
+
+        def slim(df: DataFrame) -> DataFrame:
+            return df.coalesce(tasks) if tasks < parts else df
+
+        def star(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+            return rows.join(F.broadcast(slim(least)), key) if few else common.hot_join(rows, least, [key], "n", 2 * total)
+
         # large star: a node's larger neighbours go to its least
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        big = common.hot_join(both, least, ["u"], "n", 2 * total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        big = common.keep(big, name)
+        big = common.keep(slim(star(both, least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()), name)
         # small star: a node and its smaller neighbours go to the least of them
         small = big.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        moved = common.hot_join(big, small, ["a"], "n", max(1, big.count()))
-        out = moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = common.keep(out.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), name)
+        out = star(big, small, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before, e = e, common.keep(slim(out.unionByName(small.select("a", F.col("m").alias("b"))).distinct()), name)
+        common.discard(before, big)
     leaves = e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
     return leaves.unionByName(leaves.select(F.col("comp").alias("node"), "comp").distinct())
 
