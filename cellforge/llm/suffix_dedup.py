@@ -25,10 +25,13 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if n < 2:
         return np.arange(n)
-    s = np.zeros(n + 4, np.uint64)
+    h, bits = (5, 12) if symbols.max() < 4095 else (4, 16)
+    s = np.zeros(n + h, np.uint64)
     s[:n] = symbols.astype(np.uint64) + np.uint64(1)
-    packed = (s[:-4] << np.uint64(48)) | (s[1:-3] << np.uint64(32)) | (s[2:-2] << np.uint64(16)) | s[3:-1]
-    sa = np.argsort(packed, kind="stable")
+    packed = np.zeros(n, np.uint64)
+    for k in range(h):
+        packed = (packed << np.uint64(bits)) | s[k : n + k]
+    sa = np.argsort(packed)
     key = packed[sa]
     head = np.empty(n, bool)
     head[0], head[1:] = True, key[1:] != key[:-1]
@@ -36,19 +39,17 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[sa] = start
-    h = 4
     while True:
-        lone = head & np.append(head[1:], True)
-        live = np.flatnonzero(~lone)
+        live = np.flatnonzero(~(head & np.append(head[1:], True)))  # groups of two and more
         if not len(live):
             break
-        pos = sa[live]
-        behind = rank[np.minimum(pos + h, n)]
-        order = np.lexsort((behind, start[live]))
-        pos, behind, group = pos[order], behind[order], start[live][order]
+        pos, group = sa[live], start[live]
+        pair = group * (n + 1) + rank[np.minimum(pos + h, n)] + 1
+        order = np.argsort(pair)  # groups stay in place: their starts lead the key
+        pos, pair = pos[order], pair[order]
         sa[live] = pos
         fresh = np.empty(len(live), bool)
-        fresh[0], fresh[1:] = True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
+        fresh[0], fresh[1:] = True, pair[1:] != pair[:-1]
         head[live] = fresh
         start[live] = np.maximum.accumulate(np.where(fresh, live, 0))
         rank[pos] = start[live]
@@ -56,56 +57,60 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return sa
 
 
-def kasai(symbols: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 2048) -> np.ndarray:
+def kasai(data: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 8192) -> np.ndarray:
     """Common prefix of each suffix with the one before it in the array, at most ``cap``.
 
-    Kasai's rule (one less than the text's previous suffix has, at least) runs along ``lanes``
-    stretches of the text side by side.
+    ``data`` are bytes and ``left`` says how many of them remain to a place's own context. Kasai's rule
+    (one less than the text's previous suffix has, at least) runs along ``lanes`` stretches of the
+    text side by side, eight bytes a comparison.
     """
-    n = len(symbols)
+    n = len(data)
     lcp = np.zeros(n, np.int64)
     if n < 2:
         return lcp
     rank = np.empty(n, np.int64)
     rank[sa] = np.arange(n)
-    pad = np.concatenate([symbols.astype(np.int64), np.arange(-1, -cap - 10, -1)])
-    words = np.lib.stride_tricks.sliding_window_view(pad, 8)
+    pad = np.concatenate([data, np.zeros(cap + 16, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(pad, (n + cap + 8, 8), (1, 1)).copy().view("<u8").ravel()
     step = -(-n // lanes)
     at = np.arange(0, n, step)
     h = np.zeros(len(at), np.int64)
     for t in range(step):
         i = at + t
-        ok = i < n
-        i, hh = i[ok], h[ok]
+        i = i[i < n]
+        hh = h[: len(i)]
         r = rank[i]
-        j = np.where(r > 0, sa[r - 1], n)
-        live = np.flatnonzero((r > 0) & (hh < cap))
-        hh[r == 0] = 0
+        j = sa[r - 1]  # of the first suffix the last one, which is set right below
+        most = np.minimum(np.minimum(left[i], left[j]), cap)
+        hh = np.minimum(hh, most)
+        live = np.flatnonzero(hh < most)
         while len(live):
-            a, b = np.minimum(i[live] + hh[live], n), np.minimum(j[live] + hh[live], n)
-            same = words[a] == words[b]
-            same[(a >= n) | (b >= n)] = False
-            run = np.where(same.all(1), 8, same.argmin(1))
+            x = eight[i[live] + hh[live]] ^ eight[j[live] + hh[live]]
+            low = x & (~x + np.uint64(1))
+            run = np.where(x == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
             hh[live] += run
-            live = live[(run == 8) & (hh[live] < cap)]
-        hh = np.minimum(hh, cap)
+            live = live[(run == 8) & (hh[live] < most[live])]
+        hh = np.where(r > 0, np.minimum(hh, most), 0)
         lcp[r] = hh
-        h[ok] = np.maximum(hh - 1, 0)
+        h[: len(i)] = np.maximum(hh - 1, 0)
     return lcp
 
 
 def _index(contexts: list[np.ndarray], window: int):
-    """(bytes, context and offset of each byte, suffix array, lcp) of contexts with separators between them."""
+    """(bytes, context and offset of each byte, bytes left in it, suffix array, lcp) of contexts with separators between them."""
     sizes = np.array([len(c) + 1 for c in contexts])
     ends = np.cumsum(sizes)
     text = np.zeros(int(ends[-1]), np.int64)
     which = np.repeat(np.arange(len(contexts)), sizes)
     off = np.arange(len(text)) - np.repeat(ends - sizes, sizes)
-    body = off < sizes[which] - 1
-    text[body] = np.concatenate(contexts)
+    left = sizes[which] - 1 - off
+    body = left > 0
+    data = np.zeros(len(text), np.uint8)
+    data[body] = np.concatenate(contexts)
+    text[body] = data[body]
     text[~body] = 256 + np.arange(len(contexts))  # each its own, so that no match crosses it
     sa = suffix_array(text)
-    return text, which, off, sizes, sa, kasai(text, sa, window)
+    return data, which, off, left, sa, kasai(data, left, sa, window)
 
 
 def repeated_windows(contexts: list[np.ndarray], window: int = WINDOW, limit: int = ARRAY_BYTES) -> list[np.ndarray]:
@@ -120,23 +125,27 @@ def repeated_windows(contexts: list[np.ndarray], window: int = WINDOW, limit: in
     marks = [np.zeros(max(0, len(c) - window + 1), bool) for c in contexts]
     arrays = []
     for ids in parts:
-        text, which, off, sizes, sa, lcp = _index([contexts[n] for n in ids], window)
+        data, which, off, left, sa, lcp = _index([contexts[n] for n in ids], window)
         full = lcp >= window
-        hit = full | np.append(full[1:], False)
-        for p in sa[hit]:
-            marks[ids[which[p]]][off[p]] = True
+        _mark(marks, ids, which, off, sa[full | np.append(full[1:], False)])
         if len(parts) > 1:
-            fits = sizes[which[sa]] - 1 - off[sa] >= window
-            arrays.append((ids, text, which, off, sa[fits & ~full]))  # one suffix of each different window, sorted
+            arrays.append((ids, data, which, off, sa[(left[sa] >= window) & ~full]))  # one suffix of each different window, sorted
     for x in range(len(arrays)):
         for y in range(x + 1, len(arrays)):
             _merge(arrays[x], arrays[y], marks, window)
     return [np.flatnonzero(m) for m in marks]
 
 
+def _mark(marks: list[np.ndarray], ids: list[int], which: np.ndarray, off: np.ndarray, at: np.ndarray) -> None:
+    at = np.sort(at)
+    bounds = np.searchsorted(which[at], np.arange(len(ids) + 1))
+    for k in np.flatnonzero(np.diff(bounds)):
+        marks[ids[k]][off[at[bounds[k] : bounds[k + 1]]]] = True
+
+
 def _merge(left, right, marks: list[np.ndarray], window: int) -> None:
     """Marks windows that both arrays hold: a binary search of every window of one in the other."""
-    lt, ls, rt, rs = left[1].astype(np.uint8), left[4], right[1].astype(np.uint8), right[4]
+    lt, ls, rt, rs = left[1], left[4], right[1], right[4]
     if not len(ls) or not len(rs):
         return
     lo, hi = np.zeros(len(ls), np.int64), np.full(len(ls), len(rs))
@@ -150,10 +159,8 @@ def _merge(left, right, marks: list[np.ndarray], window: int) -> None:
         hi[live] = np.where(less, hi[live], mid)
     inside = np.flatnonzero(lo < len(rs))
     same = inside[_compare(rt, rs[lo[inside]], lt, ls[inside], window) == 0]
-    hits = [(left, ls[same]), (right, rs[lo[same]])]
-    for (ids, _, which, off, _), at in hits:
-        for p in at:
-            marks[ids[which[p]]][off[p]] = True
+    for (ids, _, which, off, _), at in ((left, ls[same]), (right, rs[lo[same]])):
+        _mark(marks, ids, which, off, at)
 
 
 def _compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, window: int, step: int = 16) -> np.ndarray:
