@@ -74,8 +74,9 @@ def plan(docs: DataFrame, size: Column, weights=WEIGHTS, ramps=RAMPS, max_epochs
     sized = docs.withColumn("_size", size.cast("long"))
     plain, _ = common.stash(sized, named)
     d = plain.withColumnRenamed("_size", "size").withColumn("_k", key).withColumn("_b", F.substring("_k", 1, BUCKET_HEX)).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    src = targets(d.select("source", "size"), weights, ramps, max_epochs).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    buckets = d.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
+    sums = common.keep(d.groupBy("_s", "source", "_b").agg(F.sum("size").alias("size")), "sizes")  # 4,096 rows a source at most
+    src = targets(sums.select("source", "size"), weights, ramps, max_epochs).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    buckets = sums.select("_s", "_b", F.col("size").alias("_n"))
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("_s", "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before")).join(src, "_s")
     own = Window.partitionBy("_s", "_b").orderBy("_k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +102,7 @@ def curriculum(planned: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(common.text_or_empty()).alias("_words"))
-    p = plan(docs, F.col("_words"))
+    p = plan(common.keep(docs, "words"), F.col("_words"))  # the texts are read once
     return p.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
 
 
