@@ -4,8 +4,10 @@ A rule rejects a document if its value exceeds a cutoff. For every stratum (lang
 cutoff of a fixed grid, the labelled holdout gives n clean documents of which k would be rejected.
 A cutoff is certified if the exact binomial tail P(Bin(n, alpha) <= k) is at most delta over the
 number of all tests (Bonferroni): with probability 1 - delta no certified cutoff rejects more than
-alpha of a stratum's clean documents. Among the certified cutoffs of a rule the one that rejects
-most labelled junk is used, the highest of equals; a rule without one abstains in that stratum.
+alpha of a stratum's clean documents. Among the certified cutoffs of a rule the most useful is
+taken: the one that rejects most labelled junk, where each clean document it rejects in the holdout
+counts against CLEAN_COST of junk, and the highest of equals. A rule of which no certified cutoff is
+of use abstains in that stratum.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ MAX_REPEAT_PERCENT = 30
 #: Share of a stratum's clean documents that one rule may reject, and the chance that any bound fails.
 ALPHA = 0.01
 DELTA = 0.05
+#: Documents of junk that a rule must reject for each clean one.
+CLEAN_COST = 100
 #: Value of a rule (an integer) and its grid of cutoffs.
 RULES: dict[str, tuple[str, tuple[int, ...]]] = {
     "symbols_permille": ("CASE WHEN word_chars > 0 THEN (1000 * n_symbols) div word_chars ELSE 0 END", (5, 10, 20, 35, 50, 80, 120, 200)),
@@ -68,8 +72,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.withColumns({"_t": t, "_words": common.words(t), "_lines": F.filter(F.split(t, "\n"), lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))})
     d = d.withColumns({"n_words": F.size("_words").cast("long"), "_h": F.transform("_words", lambda w: F.xxhash64(w))})
     d = d.withColumn("_win", _repeat_words(F.col("_h"), F.size("_words")))
-    d = d.withColumns(
+    made = (
         {
+            "n_words": F.col("n_words"),
             "word_chars": F.length(F.translate("_t", " \t\n\u000b\f\r", "")).cast("long"),
             "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
             "n_bangs": (F.length("_t") - F.length(F.translate("_t", "!", ""))).cast("long"),
@@ -78,7 +83,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_repeat_words": F.when(F.size("_win") > F.size(F.array_distinct("_win")), _covered(F.col("_win"))).otherwise(0).cast("long"),
         }
     )
-    d = d.drop("_t", "_words", "_lines", "_h", "_win")
+    # An explode of one element: without it Catalyst copies these expressions into every later use and
+    # filter, and planning takes minutes.
+    d = d.select(*docs.columns, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_made"))
+    d = d.select(*docs.columns, "_made.*")
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -110,8 +118,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     counts = base.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.when(F.col("_q") == 1, 1)).alias("n"), *aggs)
     tests = counts.withColumn("_m", F.count("*").over(Window.partitionBy())).select("stratum", "n", "_m", F.explode(F.array(*cells)).alias("c")).select("stratum", "n", "_m", "c.*")
     tests = tests.withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha))
-    good = tests.where((F.col("p") <= F.lit(delta) / (F.col("_m") * len(cells))) & (F.col("junk") > 0))
-    best = good.groupBy("stratum", "rule").agg(F.max(F.struct("junk", "cutoff", "n", "k", "p")).alias("b"))
+    tests = tests.withColumn("use", F.col("junk") - CLEAN_COST * F.col("k"))
+    good = tests.where((F.col("p") <= F.lit(delta) / (F.col("_m") * len(cells))) & (F.col("use") > 0))
+    best = good.groupBy("stratum", "rule").agg(F.max(F.struct("use", "cutoff", "n", "k", "junk", "p")).alias("b"))
     return best.select("stratum", "rule", "b.cutoff", "b.n", "b.k", "b.junk", "b.p")
 
 
@@ -170,7 +179,7 @@ cal AS (SELECT lang, v.rule, g.cutoff, count(*) FILTER (q = 1) AS n, count(*) FI
         FROM v JOIN lab USING (doc_id) JOIN (VALUES {grid}) g(rule, cutoff) ON g.rule = v.rule WHERE NOT base_failed AND q IS NOT NULL GROUP BY ALL),
 pv AS (SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln({1 - ALPHA})))) END AS p,
         (SELECT count(*) FROM (SELECT DISTINCT lang FROM cal)) AS strata FROM cal),
-best AS (SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY junk DESC, cutoff DESC) AS r FROM pv WHERE p <= {DELTA} / (strata * {cells}) AND junk > 0) WHERE r = 1),
+best AS (SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY junk - {CLEAN_COST} * k DESC, cutoff DESC) AS r FROM pv WHERE p <= {DELTA} / (strata * {cells}) AND junk > {CLEAN_COST} * k) WHERE r = 1),
 bad AS (SELECT DISTINCT v.doc_id FROM v JOIN best ON v.rule = best.rule AND v.lang IS NOT DISTINCT FROM best.lang WHERE v.value > best.cutoff)"""
 
 
