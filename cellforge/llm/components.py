@@ -144,11 +144,12 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.mapInArrow(pack, "_key long, z binary").join(want, "_key").select("sid", "n", "z")
 
 
-def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame, sets_of: Callable, percent: int, block: int = BLOCK) -> DataFrame:
+def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[DataFrame], sets_of: Callable, percent: int, block: int = BLOCK) -> DataFrame:
     """(sid, comp) of every set that is linked to another: 100 * |A and B| >= percent * |A or B|.
 
     ``nodes`` has each different set once (sid, n elements, key of a document that has it);
-    ``signatures`` (sig, sid) give equal signatures to any two sets that link (repeats are welcome).
+    ``signatures`` (sig, sid) give equal signatures to any two sets that link (repeats are welcome). They may come in parts, each with all
+    rows of its signatures: a part is written and deleted before the next, so that disk holds one.
 
     Signatures of one set only drop out by a pre-aggregated minimum and maximum. What is left joins
     each set to its signature's least, and the components of these stars are clusters: sets that
@@ -157,10 +158,17 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame, sets_of: C
     sets, then, of what these links have not joined to the cluster's main component, every block with all blocks
     whose sizes allow the similarity. Tasks return spanning links, never pairs.
     """
-    sig = common.keep(signatures, "signatures")
-    total = max(1, sig.count())
-    shared = sig.groupBy("sig").agg(F.min("sid").alias("m"), F.max("sid").alias("top"), F.count("*").alias("n")).where("m <> top").drop("top")
-    stars = common.hot_join(sig, common.keep(shared, "shared"), ["sig"], "n", total).where("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b"))
+    parts, stars = signatures if isinstance(signatures, list) else [signatures], None
+    for part in parts:
+        sig = common.keep(part, "signatures")
+        total = max(1, sig.count())
+        shared = sig.groupBy("sig").agg(F.min("sid").alias("m"), F.max("sid").alias("top"), F.count("*").alias("n")).where("m <> top").drop("top")
+        shared = common.keep(shared, "shared")
+        found = common.hot_join(sig, shared, ["sig"], "n", total).where("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")).distinct()
+        if len(parts) > 1:
+            found = common.keep(found, "stars")
+            common.discard(sig, shared)
+        stars = found if stars is None else stars.unionByName(found)
     cluster = common.keep(connected(stars.distinct(), "cluster"), "cluster").withColumnRenamed("node", "sid").withColumnRenamed("comp", "cluster")
     member = cluster.join(nodes, "sid")
     texts = common.keep(_texts(docs, member.select("sid", "n", "key")), "texts")

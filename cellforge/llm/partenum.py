@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,14 @@ SHINGLE = 3
 PERCENT = 90
 #: Halves a set may have empty without indexing them: an agreement on one of the others is then certain.
 SPARE = 2
-#: Ratio of a band's bounds, as a power of 100 / percent.
-BAND_STEPS = 3
+#: Ratio of a band's bounds, about: a whole power of 100 / percent.
+BAND_RATIO = (100 / 90) ** 3
 
 
 def bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
     """Lower bounds of the size bands."""
     lo, out = 1, []
-    ratio = (100 / percent) ** BAND_STEPS
+    ratio = (100 / percent) ** max(1, round(math.log(BAND_RATIO) / math.log(100 / percent)))
     while lo <= most:
         out.append(lo)
         lo = max(lo + 1, math.floor(lo * ratio) + 1)
@@ -43,9 +44,26 @@ def distance(hi: int, percent: int = PERCENT) -> int:
     return (2 * hi * (100 - percent)) // (100 + percent)
 
 
-def halves(hi: int, percent: int = PERCENT) -> int:
-    k = distance(hi, percent)
-    return 2 * -(-(k + 1 + SPARE) // 2)
+def spare(lo: int, hi: int, percent: int = PERCENT) -> int:
+    """SPARE, and more where halves are so small that the band's least sets leave many empty.
+
+    Signatures of empty halves say nothing, and would put all sets of the band into one cluster.
+    """
+    k, more = distance(hi, percent), 0
+    for _ in range(10):
+        m = k + 1 + SPARE + more
+        e = m * math.exp(-lo * percent / 100 / m)
+        more = min(k // 2, int(e + 2 * math.sqrt(e)) if e >= 1 else 0)
+    return SPARE + more
+
+
+def halves(lo: int, hi: int, percent: int = PERCENT) -> int:
+    return 2 * -(-(distance(hi, percent) + 1 + spare(lo, hi, percent)) // 2)
+
+
+def passes(percent: int = PERCENT) -> int:
+    """Into how many parts the signatures are dealt, one after the other: a set has about twice as many at 80 as at 90 percent."""
+    return -(-distance(100, percent) // 10)
 
 
 _BANDS: dict[int, np.ndarray] = {}
@@ -64,23 +82,23 @@ def signatures_of(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         lo, hi = int(b[i]), int(b[i + 1]) - 1
         if i > own and n * 100 < lo * percent or distance(hi, percent) < 1:
             continue
-        m = halves(hi, percent)
+        m, free = halves(lo, hi, percent), spare(lo, hi, percent)
         place = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         order = np.argsort(place, kind="stable")
         place = place[order].astype(np.int64)
         used, first = np.unique(place, return_index=True)
         with np.errstate(over="ignore"):
             part = np.add.reduceat(tn.mix(elements[order] + np.uint64(i)), first) if n else np.zeros(0, np.uint64)
-            if m - len(used) > SPARE:
+            if m - len(used) > free:
                 empty = np.setdiff1d(np.arange(m), used)
                 used, part = np.concatenate([used, empty]), np.concatenate([part, np.zeros(len(empty), np.uint64)])
             out.append(tn.mix(part + np.uint64(0xA24BAED4963EE407) * (used.astype(np.uint64) + np.uint64(1)) + np.uint64(i << 40)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def element_sets(b: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The different shingles of each text, ASCII letters lower-cased."""
-    h, rows = shingle_hashes(tn.lower_ascii(b), offsets, SHINGLE)
+def element_sets(b: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """The different shingles of ``size`` words of each text, ASCII letters lower-cased."""
+    h, rows = shingle_hashes(tn.lower_ascii(b), offsets, size)
     return [np.unique(h[rows[r] : rows[r + 1]]) for r in range(len(rows) - 1)]
 
 
@@ -105,8 +123,8 @@ def node_table(keyed: DataFrame, sets_of=element_sets) -> DataFrame:
     return keyed.select("_key", "text").mapInArrow(run, "_key long, n long, sid long")
 
 
-def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCENT) -> DataFrame:
-    """(sig, sid); sets that a batch repeats are written once."""
+def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCENT, part: int = 0, parts: int = 1) -> DataFrame:
+    """(sig, sid) of one of ``parts`` parts of the signatures; sets that a batch repeats are written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +135,8 @@ def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCE
                 for s in sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
                     if len(s) and (x := set_id(s)) not in seen:
                         seen.add(x)
-                        sig.append(signatures_of(s, percent))
+                        own = signatures_of(s, percent)
+                        sig.append(own[own % np.uint64(parts) == part] if parts > 1 else own)
                         sid.append(np.full(len(sig[-1]), x, np.int64))
                 if sig:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(sid))], names=["sig", "sid"])
@@ -125,11 +144,11 @@ def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCE
     return keyed.select("text").mapInArrow(run, "sig long, sid long")
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, block: int = components.BLOCK) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = PERCENT, block: int = components.BLOCK, shingle: int = SHINGLE) -> DataFrame:
     """The documents with ``n_shingles`` and ``component_id``, the least doc_id reachable by links.
 
-    Two documents link if 100 * |A and B| >= percent * |A or B| for their sets of different 3-word
-    shingles (ASCII letters lower-cased; with fewer words the whole sequence is the one shingle). A
+    Two documents link if 100 * |A and B| >= percent * |A or B| for their sets of different shingles
+    of ``shingle`` words (ASCII letters lower-cased; with fewer words the whole sequence is the one shingle). A
     document without words has no set and links with nothing: its component is itself. Rows that
     repeat a doc_id, or have none, are documents of their own; a component of null ids only is null.
     Extra columns pass through, unless the operator makes one of that name. Sets are told apart by
@@ -137,9 +156,12 @@ def join_components(docs: DataFrame, percent: int = PERCENT, block: int = compon
     """
     plain, _ = common.stash(docs)
     keyed = common.with_key(plain, "keyed")
-    nodes = common.keep(node_table(keyed), "nodes")
+    sets_of = partial(element_sets, size=shingle)
+    nodes = common.keep(node_table(keyed, sets_of), "nodes")
     sets = nodes.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("_key").alias("key"))
-    linked = components.similar(keyed, sets, signature_table(keyed, percent=percent), element_sets, percent, block)
+    parts = passes(percent)
+    signatures = [signature_table(keyed, sets_of, percent, p, parts) for p in range(parts)]
+    linked = components.similar(keyed, sets, signatures, sets_of, percent, block)
     found = attach(keyed.select("_key", "doc_id"), nodes, linked)
     out = keyed.drop("doc_id").join(found.drop("text"), "_key")
     made = ["n_shingles", "component_id", "is_first"]

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from cellforge.llm import common, mixing, packing, partenum, rules, substring_dedup
 
 
+#: What near-duplicate stages on word shingles take unless a contract says otherwise; op9's query has its own.
+SHINGLE, PERCENT = 5, 80
+
+
 def _ready(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.ARROW_ROWS))
@@ -23,9 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least doc_id stays."""
+    """Of each component of documents that link at 80 percent of 5-word shingles the one with the least doc_id stays."""
     _ready(spark)
-    return partenum.join_components(docs).where("is_first").select(*docs.columns)
+    return partenum.join_components(docs, PERCENT, shingle=SHINGLE).where("is_first").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

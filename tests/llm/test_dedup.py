@@ -76,6 +76,13 @@ def test_join_components(spark, seed, block):
     assert Counter(map(tuple, got)) == brute.join_components(docs)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_join_components_of_other_shingles(spark, block):
+    docs = documents(4, 140)
+    got = partenum.join_components(frame(spark, docs), 80, block, shingle=5).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute.join_components(docs, 80, 5)
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(3)
     for n in (7, 10, 19, 40, 100, 300):
@@ -88,6 +95,22 @@ def test_signatures_lose_no_link():
                     assert set(partenum.signatures_of(np.unique(a)).tolist()) & set(partenum.signatures_of(b).tolist())
 
 
+def test_signatures_at_80_percent():
+    rng = np.random.default_rng(4)
+    sig = lambda x: set(partenum.signatures_of(x, 80).tolist())
+    for n in (5, 9, 10, 19, 40, 100, 300, 1000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for cut in range(0, n // 5 + 1, max(1, n // 40)):
+                b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**64, rng.integers(0, n // 4 + 1), dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if 100 * common >= 80 * (len(a) + len(b) - common) and set(a) != set(b):
+                    assert sig(a) & sig(b)
+    # sets that have nothing in common share no signature, however many halves they leave empty
+    many = [sig(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (400, 401, 402, 403) * 20]
+    assert len(set().union(*many)) == sum(map(len, many))
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (150, 300), (-5, 1000), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long")).collect()))

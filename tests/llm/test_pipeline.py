@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from functools import partial
 
 import corpus_pipeline as cp
 from tests.llm import brute
@@ -62,3 +63,19 @@ def plain_cut(texts, window=20):
             seen.add(g)
         out[i] = " ".join(x for n, x in enumerate(w) if n not in gone) if gone else texts[i]
     return out
+
+
+def test_near_duplicates_of_five_words_at_80_percent(spark):
+    """Two words of a hundred replaced: 5-word Jaccard 86 / 106, 3-word Jaccard 92 / 104."""
+    w = [f"w{i}" for i in range(100)]
+    near, far = list(w), list(w)
+    near[30] = near[60] = "edited"
+    for i in (10, 30, 50, 70):
+        far[i] = "other"
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.ngram_join(spark, docs, "").collect()) == [1, 3]
+
+
+def test_pipeline_with_five_word_reference(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(brute, "join_components", partial(brute.join_components, percent=80, n=5))
+    test_pipeline(spark, tmp_path)
