@@ -243,6 +243,22 @@ def test_toxicity(spark):
     assert auc(got) > 0.97
 
 
+def test_toxicity_keeps_every_pair():
+    """A frequent ordinary pair whose hash begins like a toxic pair's takes nothing from it."""
+    text = np.frombuffer(b"aa bb", np.uint8)
+    w, s, left, pair, *_ = toxicity.tokens(text, np.array([0, len(text)]))
+    toxic = pair[1:]
+
+    def ratio(other):
+        col = lambda x: np.asarray(x)[1:]
+        one = {"left": col(left), "word": col(w), "stem": col(s)}
+        counts = {0: {"pair": other.view(np.int64), "left": one["left"] ^ 1, "word": one["word"] ^ 1, "stem": one["stem"] ^ 1, "n": np.array([9])}, 1: one | {"pair": toxic.view(np.int64), "n": np.array([4])}}
+        corpus = {"word": np.ones(1 << toxicity.WORD_BITS), "stem": np.ones(1 << toxicity.STEM_BITS)}
+        return toxicity.ratios(toxicity.build(counts, corpus), text, np.array([0, len(text)]))[0][1]
+
+    assert ratio(toxic ^ np.uint64(1)) == ratio(~toxic) > 2
+
+
 SUFFIX = ["", "s", "er", "ab", "ix", "um", "on", "at", "el"]
 
 
