@@ -19,7 +19,9 @@ def nearest(q: Column) -> Column:
 
 
 def cell_index(c: Column, low: float, size: float) -> Column:
-    return nearest((c - F.lit(low)) / F.lit(size))
+    """The nearest node's index. The offset is multiplied by the reciprocal of the size, not divided by
+    it: the two differ by an ulp, which decides points exactly between two nodes."""
+    return nearest((c - F.lit(low)) * F.lit(1.0 / size))
 
 
 def in_box(spec: TreeSpec) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,14 +28,15 @@ def static_partition(tiles: int, parts: int) -> list[int]:
     """{0, 1, tiles}; defined for at most two parts."""
     if parts > 2 or (parts == 2 and tiles < 2):
         raise ValueError("a static partition has at most two parts and needs a tile for each")
-    return [0, 1, tiles][: parts] + [tiles] if parts == 2 else [0, tiles]
+    return [0, 1, tiles] if parts == 2 else [0, tiles]
 
 
 def random_partition(tiles: int, parts: int, seed: int) -> list[int]:
-    """Distinct sorted random boundaries."""
+    """Distinct sorted boundaries: the inner tiles whose md5 of "seed|tile" come first, so that any engine can draw them."""
     if parts > tiles:
         raise ValueError("more parts than tiles")
-    return [0, *sorted(random.Random(seed).sample(range(1, tiles), parts - 1)), tiles]
+    order = sorted(range(1, tiles), key=lambda t: hashlib.md5(f"{seed}|{t}".encode()).hexdigest())
+    return [0, *sorted(order[: parts - 1]), tiles]
 
 
 def layer_partition(layer: LayerSpec, ranks: tuple[int, int, int], partition: Partition | None = None) -> Partition:
@@ -84,18 +86,21 @@ def owner(spec: TreeSpec, layer: LayerSpec, ranks, partition: Partition | None =
     return F.coalesce((coords[0] * ranks[1] + coords[1]) * ranks[2] + coords[2], F.lit(-1)).cast("int")
 
 
-def owner_by_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The same as a range join against arbitrary boxes (a row for each rank); first match in rank order.
+def owner_by_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The same against arbitrary boxes (a row for each rank), which may overlap: the least rank that holds the point.
 
-    ``boxes`` is broadcast: its size is the number of ranks, a parameter.
+    The boxes' number is the number of ranks, a parameter; they become one array literal that each row
+    is tested against, so nothing is joined or shuffled.
     """
-    p = points.withColumn("_row", F.monotonically_increasing_id())
-    hit = (F.col("x") >= F.col("x_lo")) & (F.col("x") < F.col("x_hi"))
-    hit &= (F.col("y") >= F.col("y_lo")) & (F.col("y") < F.col("y_hi"))
-    hit &= (F.col("z") >= F.col("z_lo")) & (F.col("z") < F.col("z_hi"))
-    joined = p.join(F.broadcast(boxes), hit, "left")
-    cols = [F.first(c).alias(c) for c in points.columns]
-    return joined.groupBy("_row").agg(*cols, F.coalesce(F.min("rank"), F.lit(-1)).alias("rank")).drop("_row")
+
+    def inside(b: Column) -> Column:
+        return reduce(Column.__and__, [(F.col(c) >= b[f"{c}_lo"]) & (F.col(c) < b[f"{c}_hi"]) for c in "xyz"])
+
+    rows = [F.struct(*[F.lit(r[f]).cast(boxes.schema[f].dataType).alias(f) for f in boxes.columns]) for r in boxes.collect()]
+    if not rows:
+        return points.withColumn("rank", F.lit(-1))
+    hits = F.transform(F.filter(F.array(*rows), inside), lambda b: b["rank"])
+    return points.withColumn("rank", F.coalesce(F.array_min(hits), F.lit(-1)))
 
 
 def migrate(points: DataFrame, spec: TreeSpec, layer: LayerSpec, ranks, partition: Partition | None = None) -> DataFrame:
@@ -104,21 +109,18 @@ def migrate(points: DataFrame, spec: TreeSpec, layer: LayerSpec, ranks, partitio
 
 
 def balanced_partition(points: DataFrame, spec: TreeSpec, layer: LayerSpec, ranks) -> DataFrame:
-    """Workload quantiles: (axis, part, start_tile, end_tile), from per-axis tile histograms.
+    """Workload quantiles: (axis, part, start_tile, end_tile), from tile histograms of all axes in one pass.
 
-    A histogram has at most tiles_per_dim + 1 rows, so the running sum is over that many.
+    A histogram has at most tiles_per_dim + 1 rows an axis, so the running sums are over that many.
     """
     cells = with_cells(points.where(in_box(spec)), spec, layer)
-    out = None
-    for d, (c, n) in enumerate(zip("ijk", ranks)):
-        tile = F.least(F.floor(F.col(c) / layer.cell_per_tile_dim), F.lit(layer.tiles_per_dim - 1)).cast("int")
-        hist = cells.groupBy(tile.alias("tile")).agg(F.count("*").alias("n"))
-        cum = hist.withColumn("cum", F.sum("n").over(Window.orderBy("tile"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-        edges = cum.select(
-            *[F.coalesce(F.min(F.when(F.col("cum") * n >= F.col("total") * p, F.col("tile") + 1)), F.lit(layer.tiles_per_dim)).alias(f"e{p}") for p in range(1, n)],
-            F.lit(0).alias("e0"),
-            F.lit(layer.tiles_per_dim).alias(f"e{n}"),
-        ) if n > 1 else cum.select(F.lit(0).alias("e0"), F.lit(layer.tiles_per_dim).alias("e1")).limit(1)
-        parts = edges.select(F.explode(F.array(*[F.struct(F.lit(d).alias("axis"), F.lit(p).alias("part"), F.col(f"e{p}").cast("int").alias("start_tile"), F.col(f"e{p + 1}").cast("int").alias("end_tile")) for p in range(n)])).alias("s")).select("s.*")
-        out = parts if out is None else out.unionByName(parts)
-    return out
+    tile = lambda c: F.least(F.floor(F.col(c) / layer.cell_per_tile_dim), F.lit(layer.tiles_per_dim - 1)).cast("int")
+    axes = F.array(*[F.struct(F.lit(d).alias("axis"), tile(c).alias("tile")) for d, c in enumerate("ijk")])
+    hist = cells.select(F.explode(axes).alias("s")).groupBy("s.axis", "s.tile").agg(F.count("*").alias("n"))
+    cum = hist.withColumns({"cum": F.sum("n").over(Window.partitionBy("axis").orderBy("tile")), "total": F.sum("n").over(Window.partitionBy("axis"))})
+    edges = cells.sparkSession.createDataFrame([(d, n, p) for d, n in enumerate(ranks) for p in range(n + 1)], "axis int, parts int, part int")
+    reached = F.min(F.when(F.col("cum") * F.col("parts") >= F.col("total") * F.col("part"), F.col("tile") + 1))
+    at = F.when(F.col("part") == 0, 0).when(F.col("part") == F.col("parts"), layer.tiles_per_dim).otherwise(F.coalesce(F.col("edge"), F.lit(layer.tiles_per_dim)))
+    found = edges.join(cum, "axis", "left").groupBy("axis", "parts", "part").agg(reached.alias("edge")).withColumn("at", at.cast("int"))
+    ahead = F.lead("at").over(Window.partitionBy("axis").orderBy("part"))
+    return found.withColumn("end_tile", ahead).where("part < parts").select("axis", "part", F.col("at").alias("start_tile"), "end_tile")

@@ -37,17 +37,21 @@ def populate(rows: DataFrame, spec: TreeSpec, layer: LayerSpec, aggs: dict[str,
     return with_cells(rows, spec, layer).groupBy(*keys).agg(*[e.alias(c) for c, e in aggs.items()], *extra)
 
 
-def aggregate_layers(points: DataFrame, spec: TreeSpec, aggs: dict[str, Column] | None = None, ranks=None, materialise: bool = False) -> list[DataFrame]:
+def aggregate_layers(points: DataFrame, spec: TreeSpec, aggs: dict[str, Column] | None = None, ranks=None, materialise: bool = False, partitions: dict | None = None) -> list[DataFrame]:
     """A DataFrame for each layer, leaf first. Layer n+1 reads the aggregated rows of layer n.
 
-    Every layer is one partial aggregate, one exchange and one final aggregate. The union of the
-    layers reuses the exchanges below it; ``materialise`` cuts the lineage with checkpoint() for
-    tall trees (it needs a checkpoint folder all executors share).
+    Every layer is one partial aggregate, one exchange and one final aggregate. A layer is both a
+    result and the next one's input; its columns are all kept through both uses, so that Spark sees
+    one exchange and reuses it: the points are scanned once however many layers are read together.
+    ``materialise`` cuts the lineage with checkpoint() for tall trees (it needs a checkpoint folder
+    all executors share). ``partitions`` has explicit tile boundaries for some layers (with ``ranks``).
     """
     aggs = aggs or default_aggs(spec)
     out, rows = [], points.where(in_box(spec))
     for layer in spec.layers:
-        cells = populate(rows, spec, layer, aggs, ranks)
+        cells = populate(rows, spec, layer, aggs, ranks, (partitions or {}).get(layer.layer))
+        # always true, as a cell has a row at least, but it holds the optimizer from pruning differently in each use
+        cells = cells.where((F.col("n") > 0) | F.concat(*[F.col(c).cast("string") for c in aggs]).isNull())
         if materialise:
             cells = cells.checkpoint()
         out.append(cells)
@@ -55,9 +59,9 @@ def aggregate_layers(points: DataFrame, spec: TreeSpec, aggs: dict[str, Column]
     return out
 
 
-def aggregate_up(points: DataFrame, spec: TreeSpec, aggs: dict[str, Column] | None = None, ranks=None, materialise: bool = False) -> DataFrame:
+def aggregate_up(points: DataFrame, spec: TreeSpec, aggs: dict[str, Column] | None = None, ranks=None, materialise: bool = False, partitions: dict | None = None) -> DataFrame:
     """All layers in one relation keyed by (layer, [rank,] i, j, k)."""
-    parts = aggregate_layers(points, spec, aggs, ranks, materialise)
+    parts = aggregate_layers(points, spec, aggs, ranks, materialise, partitions)
     return reduce(DataFrame.unionByName, [p.withColumn("layer", F.lit(n)) for n, p in enumerate(parts)])
 
 
@@ -90,3 +94,14 @@ def with_parent(cells: DataFrame, spec: TreeSpec) -> DataFrame:
             case = F.when(F.col("layer") == layer.layer, cell_index(F.col(c), lo, spec.layers[layer.layer + 1].cell_size[d])).otherwise(case)
         cols[n] = case
     return cells.withColumns(cols)
+
+
+def cell_lines(cells: DataFrame, spec: TreeSpec, payload: str = "v") -> DataFrame:
+    """(rank, i, j, k, line) for a debug print of a layer's owned cells: "R<rank>: val: <payload>, x/y/z: <position>".
+
+    Show it with ``.orderBy("rank", "i", "j", "k").show(n, False)``: ordered and bounded. A layer
+    without cells has no lines.
+    """
+    rank = F.col("rank") if "rank" in cells.columns else F.lit(0)
+    line = F.format_string("R%d: val: %d, x/y/z: %.3f, %.3f, %.3f", rank, payload, *spec.position_cols)
+    return cells.select(rank.alias("rank"), "i", "j", "k", line.alias("line"))

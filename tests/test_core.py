@@ -38,7 +38,7 @@ def test_edges(spark):
     assert upward.aggregate_up(df.limit(0).withColumn("v", F.lit(1)), CUBE).count() == 0
 
 
-@pytest.mark.parametrize("ranks", [(1, 1, 1), (2, 1, 1), (2, 2, 1), (2, 2, 2)])
+@pytest.mark.parametrize("ranks", [(1, 1, 1), (2, 1, 1), (2, 2, 1), (2, 2, 2), (4, 2, 2)])
 def test_two_points_per_rank(spark, ranks):
     n = ranks[0] * ranks[1] * ranks[2]
     spec = TreeSpec((-1.5,) * 3, (1.5,) * 3, leaf_tiles=4 * n, reduction=max(2, n // 2))
@@ -114,3 +114,42 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     want = [c.count() for c in upward.aggregate_layers(pts, tables.LINEITEM)]
     assert [seen[n] for n in sorted(seen)] == want
+
+
+@pytest.mark.parametrize("cpt,reduction", [(4, 2), (2, 3), (8, 4)])
+def test_sums_are_conserved_and_means_stay_in_their_cells(spark, cpt, reduction):
+    pts = tables.embedding_points(spark, "/root/testdata/sf0.001")
+    spec = TreeSpec(tables.EMBEDDINGS.low, tables.EMBEDDINGS.high, 16, reduction, cell_per_tile_dim=cpt)
+    want = pts.where(B.in_box(spec)).agg(F.sum("v")).first()[0]
+    rows = 1 << 60
+    for layer, cells in zip(spec.layers, upward.aggregate_layers(pts, spec)):
+        got = cells.collect()
+        assert sum(r.v for r in got) == want and len(got) <= rows
+        rows = len(got)
+        for r in got:
+            for c, idx, lo, h in zip("xyz", (r.i, r.j, r.k), spec.low, layer.cell_size):
+                assert abs(r[c] - (lo + idx * h)) <= h / 2 + 1e-12 and 0 <= idx <= layer.cells_per_dim
+
+
+def test_points_are_scanned_once(spark, capsys):
+    df = upward.aggregate_up(tables.lineitem_points(spark, "/root/testdata/sf0.001"), tables.LINEITEM).select("layer", "i", "j", "k", "v", "n")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") >= 4
+
+
+def test_overlapping_boxes(spark):
+    boxes = spark.createDataFrame([(3, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), (1, 0.5, 0.5, 0.5, 2.0, 2.0, 2.0)], "rank int, x_lo double, y_lo double, z_lo double, x_hi double, y_hi double, z_hi double")
+    pts = spark.createDataFrame([(0.1,) * 3, (0.6,) * 3, (1.0,) * 3, (5.0,) * 3, (None,) * 3], "x double, y double, z double")
+    assert [r["rank"] for r in ownership.owner_by_boxes(pts, boxes).collect()] == [3, 1, 1, -1, -1]
+
+
+def test_half_cells_follow_the_reciprocal(spark):
+    spec, n = tables.LINEITEM, 0
+    for layer in spec.layers:
+        for lo, h in zip(spec.low, layer.cell_size):
+            pts = [lo + (k + 0.5) * h for k in range(layer.cells_per_dim)]
+            got = [r[0] for r in spark.createDataFrame([(p,) for p in pts], "p double").select(B.cell_index(F.col("p"), lo, h)).collect()]
+            q = [(p - lo) * (1.0 / h) for p in pts]
+            assert got == [math.floor(v) + (v - math.floor(v) >= 0.5) for v in q]
