@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows a side may have to be broadcast; counted before it is.
@@ -25,22 +25,9 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/cellforge-{spark.sparkContext.applicationId}"
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path, removed when the session's JVM ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    """A fresh path in the folder all executors share, removed when the session's JVM ends."""
+    return scratch.fresh_path(spark, name)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -76,7 +63,8 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, tot
     """
     least = max(2, total // hot_keys)
     hot, cold = small.where(F.col(weight) >= least), small.where(F.col(weight) < least)
-    return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def hot_left_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = 10_000) -> DataFrame:

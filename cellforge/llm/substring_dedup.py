@@ -1,13 +1,20 @@
 """Substring dedup over words: every repeat of a passage but the first goes.
 
-Reference shards are suffix automata. A shard holds the contexts of some anchors (see repeats);
-each context is streamed through the automaton of those before it, whose matching statistics mark
-the windows that occur earlier, and is then added to it. The automata are built where they are
-used instead of being broadcast, since their size follows the corpus.
+Reference shards are suffix automata over words (compared as such, not as hashes). Runs of documents
+that claim to repeat a passage (see repeats) are streamed through the automaton of the shard that
+holds its first occurrence: matching statistics say where a window of it ends there, each state
+knows the earliest place of its strings, and maximal spans of windows that start earlier go. In a
+contested shard every context is streamed through the automaton of those before it and then added.
+
+A shard's reference is sent to every task that streams against it: a passage in demand to as many as
+its claims fill. All references are not broadcast to all tasks, since they grow with the corpus.
 """
 
 from __future__ import annotations
 
+import bisect
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,28 +27,30 @@ UNITS = repeats.Units("word", WINDOW, GRAM)
 
 
 class Automaton:
-    """A generalised suffix automaton over integer symbols, built online."""
+    """A generalised suffix automaton over words, built online; states know where their strings first end."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.len = [0]
-
-    def add(self, seq: list) -> None:
-        nxt, link, ln = self.next, self.link, self.len
-        last = 0
-        for c in seq:
+        self.first = [-1]
+        self.size = 0
+
+    def add(self, seq: list) -> int:
+        """Adds a sequence; returns the number of its first place. Places of all sequences count on."""
+        nxt, link, ln, first = self.next, self.link, self.len, self.first
+        base, last = self.size, 0
+        self.size += len(seq)
+        for at, c in enumerate(seq, base):
             q = nxt[last].get(c)
             if q is not None:
-                if ln[q] == ln[last] + 1:
-                    last = q
-                    continue
-                last = self._split(last, c, q)
+                last = q if ln[q] == ln[last] + 1 else self._split(last, c, q)
                 continue
             cur = len(nxt)
             nxt.append({})
             link.append(0)
             ln.append(ln[last] + 1)
+            first.append(at)
             p = last
             while p >= 0 and c not in nxt[p]:
                 nxt[p][c] = cur
@@ -50,6 +59,7 @@ class Automaton:
                 q = nxt[p][c]
                 link[cur] = q if ln[q] == ln[p] + 1 else self._split(p, c, q)
             last = cur
+        return base
 
     def _split(self, p: int, c, q: int) -> int:
         nxt, link, ln = self.next, self.link, self.len
@@ -57,38 +67,58 @@ class Automaton:
         nxt.append(dict(nxt[q]))
         link.append(link[q])
         ln.append(ln[p] + 1)
+        self.first.append(self.first[q])
         link[q] = clone
         while p >= 0 and nxt[p].get(c) == q:
             nxt[p][c] = clone
             p = link[p]
         return clone
 
-    def statistics(self, seq: list) -> list[int]:
-        """For every place, the length of the longest match that ends there."""
-        nxt, link, ln = self.next, self.link, self.len
+    def windows(self, seq: list, window: int) -> list[tuple[int, int]]:
+        """(offset, first place) of every window of ``seq`` that the automaton holds, by matching statistics."""
+        nxt, link, ln, first = self.next, self.link, self.len, self.first
         at, l, out = 0, 0, []
-        for c in seq:
+        for n, c in enumerate(seq):
             while at and c not in nxt[at]:
                 at = link[at]
                 l = ln[at]
             to = nxt[at].get(c)
             if to is None:
                 l = 0
-            else:
-                at, l = to, l + 1
-            out.append(l)
+                continue
+            at, l = to, l + 1
+            if l >= window:
+                while ln[link[at]] >= window:  # the state of the window itself
+                    at = link[at]
+                    l = ln[at]
+                out.append((n - window + 1, first[at] - window + 1))
         return out
 
 
-def earlier_windows(contexts: list[np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
-    """For each context the offsets of its windows that occur in one before it."""
-    auto, out = Automaton(), []
-    for c in contexts:
-        seq = c.tolist()
-        stats = np.asarray(auto.statistics(seq))
-        out.append(np.flatnonzero(stats >= window) - window + 1)
-        auto.add(seq)
-    return out
+def index(references: list, streamed: list, contested: bool, window: int = WINDOW) -> tuple[list, list]:
+    """What a shard's automaton finds (see repeats.repeated_spans): (key, start, end) spans, and refused runs.
+
+    References come in order of (key, start), so the first place of a window is its earliest.
+    """
+    auto, starts, own, found, refused = Automaton(), [], [], [], []
+    for key, lo, body in references:
+        seq = body.split()
+        if contested:
+            offs = np.array([o for o, _ in auto.windows(seq, window)], np.int64)
+            found += [(key, lo + s, lo + e) for s, e in repeats.joined(offs, window)]
+        starts.append(auto.add(seq))
+        own.append((key, lo))
+    for key, lo, body in streamed:
+        seq = body.split()
+        offs = []
+        for o, place in auto.windows(seq, window):
+            n = bisect.bisect_right(starts, place) - 1
+            if (own[n][0], own[n][1] + place - starts[n]) < (key, lo + o):
+                offs.append(o)
+        found += [(key, lo + s, lo + e) for s, e in repeats.joined(np.array(offs, np.int64), window)]
+        if len(offs) < len(seq) - window + 1:
+            refused.append((key, lo, body))
+    return found, refused
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
@@ -102,7 +132,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = re
     units = repeats.Units("word", window, gram)
     plain, rest = common.stash(docs)
     keyed = common.with_key(plain, "keyed")
-    spans = repeats.repeated_spans(keyed, units, lambda c: earlier_windows(c, window), keep_first=True, hot=hot)
+    spans = repeats.repeated_spans(keyed, units, partial(index, window=window), keep_first=True, hot=hot)
     out = repeats.cut(keyed, spans, units, ["doc_id", "text", *rest], "string")
     made = ["n_words", "n_removed", "n_spans", "kept_text"]
     return out.select(*common.unstash(docs, made), F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("kept").alias("kept_text"))

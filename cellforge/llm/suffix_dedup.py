@@ -1,13 +1,17 @@
 """Suffix-array dedup over bytes: every copy of a repeated 400-byte string goes.
 
-Per shard a suffix array is built by Larsson-Sadakane refinement (groups of equal prefixes are
-re-sorted by the rank behind them, with doubling length; finished groups drop out), common
-prefixes by Kasai's rule, and shards that were split are merged by binary search of one's windows
-in the other's array.
+Each shard (see repeats) gets a suffix array by Larsson-Sadakane refinement (groups of equal prefixes
+are re-sorted by the rank behind them, with doubling length; finished groups drop out) and common
+prefixes by Kasai's rule. In a contested shard the prefixes tell which windows occur twice; a shard
+that was split is merged by binary search of one part's windows in the other's array. Into a shard of
+witnesses the runs that claim them are merged by binary search too: one search finds all places where
+a whole run stands. No byte goes that one of these searches has not found elsewhere.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,17 +183,71 @@ def _compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, window:
     return out
 
 
+class Reference:
+    """A suffix array over some runs (key, lo, bytes), for searching whole runs."""
+
+    def __init__(self, runs: list[tuple[int, int, bytes]], window: int) -> None:
+        self.data = b"\0".join(body for _, _, body in runs) + b"\0"
+        self.ends, self.runs, self.window = np.cumsum([len(body) + 1 for _, _, body in runs]), runs, window
+        symbols = np.frombuffer(self.data, np.uint8)
+        self.sa = suffix_array(symbols.astype(np.int64))
+        self.lcp = kasai(symbols, np.arange(len(symbols), 0, -1), self.sa, window)
+
+    def elsewhere(self, key: int, lo: int, run: bytes) -> bool:
+        """Whether ``run``, of a window at least, stands in a place other than (key, lo)."""
+        sa, data = self.sa, self.data
+        a, z = 0, len(sa)
+        while a < z:
+            mid = (a + z) // 2
+            at = int(sa[mid])
+            if data[at : at + len(run)] < run:
+                a = mid + 1
+            else:
+                z = mid
+        while a < len(sa):
+            at = int(sa[a])
+            if data[at : at + len(run)] != run:
+                return False
+            n = int(np.searchsorted(self.ends, at, side="right"))
+            start = at - (int(self.ends[n - 1]) if n else 0)
+            own, first, body = self.runs[n]
+            if start + len(run) <= len(body) and (own, first + start) != (key, lo):
+                return True
+            a += 1
+            if a < len(sa) and self.lcp[a] < self.window:  # the next does not even begin with the same window
+                return False
+        return False
+
+
+def index(references: list, streamed: list, contested: bool, window: int = WINDOW) -> tuple[list, list]:
+    """What a shard's suffix arrays find (see repeats.repeated_spans): (key, start, end) spans, and refused runs."""
+    found, refused = [], []
+    if contested:
+        offs = repeated_windows([np.frombuffer(body, np.uint8) for _, _, body in references], window)
+        for (key, lo, _), o in zip(references, offs):
+            found += [(key, lo + s, lo + e) for s, e in repeats.joined(o, window)]
+        return found, refused
+    ref = Reference(references, window)
+    for key, lo, body in streamed:
+        if ref.elsewhere(key, lo, body):
+            found.append((key, lo, lo + len(body)))
+        else:
+            refused.append((key, lo, body))
+    return found, refused
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
     """The documents with n_bytes, n_removed, n_spans and ``kept`` (binary: a cut may split a character).
 
     A byte goes if a string of ``window`` bytes that covers it starts anywhere else, in the same
     document too. Matches never cross documents. A null text is empty. Rows that repeat a doc_id, or
-    have none, are documents of their own.
+    have none, are documents of their own. Extra columns pass through, unless the operator makes one
+    of that name.
     """
     units = repeats.Units("byte", window, gram)
     plain, rest = common.stash(docs)
     keyed = common.with_key(plain, "keyed")
-    spans = repeats.repeated_spans(keyed, units, lambda c: repeated_windows(c, window), keep_first=False, hot=hot)
+    spans = repeats.repeated_spans(keyed, units, partial(index, window=window), keep_first=False, hot=hot)
     out = repeats.cut(keyed, spans, units, ["doc_id", "text", *rest], "binary")
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
     return out.select(*common.unstash(docs, made), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("kept").alias("kept"))

@@ -1,12 +1,15 @@
 """Vectorised text primitives in numpy, straight on Arrow's UTF-8 buffers.
 
-All word separators are ASCII, so words are found in bytes. Hashes are 64-bit polynomials over a
-fixed random table, by prefix sums, so that any span is hashed in constant time; they depend on
-content only, never on the batch a text came in.
+All word separators are ASCII, so words are found in bytes. Any span is hashed in constant time, by
+prefix sums of a polynomial; hashes depend on content only, never on the batch a text came in. There
+are two kinds: Prefix, modulo 2^64, is fast but has constructible collisions, and serves only where
+a collision costs nothing but time (anchors, features). Where equal hashes propose that spans are
+equal, Strong (modulo the prime 2^61 - 1 with a random base), chained or digest serve.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -77,6 +80,112 @@ class Prefix:
             return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+_P = np.uint64((1 << 61) - 1)
+_LOW32, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+_U32, _U29, _U61, _U3 = np.uint64(32), np.uint64(29), np.uint64(61), np.uint64(3)
+#: Random bases modulo 2^61 - 1, one for each salt.
+_BASES = [int(x) for x in _rng.integers(1 << 40, (1 << 61) - 2, 8, dtype=np.uint64)]
+TABLE61 = _rng.integers(1, (1 << 61) - 2, 256, dtype=np.uint64)
+_strong: dict[int, list[np.ndarray]] = {}
+
+
+_BLOCK = 1 << 13
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for a, b < 2^61, from products of 32-bit halves; in blocks that stay in the cache."""
+    if len(a) > _BLOCK:
+        out = np.empty(len(a), np.uint64)
+        for i in range(0, len(a), _BLOCK):
+            out[i : i + _BLOCK] = mulmod(a[i : i + _BLOCK], b[i : i + _BLOCK] if np.ndim(b) else b)
+        return out
+    a1, a0, b1, b0 = a >> _U32, a & _LOW32, b >> _U32, b & _LOW32
+    t = a1 * b0
+    t += a0 * b1
+    a0 = a0 * b0
+    a1 = a1 * b1
+    a1 <<= _U3
+    a1 += t >> _U29
+    t &= _LOW29
+    t <<= _U32
+    a1 += t
+    a1 += a0 & _P
+    a1 += a0 >> _U61
+    t = a1 >> _U61
+    a1 &= _P
+    a1 += t
+    a1 -= np.where(a1 >= _P, _P, np.uint64(0))
+    return a1
+
+
+def _strong_powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the salt's base and of its inverse, by doubling."""
+    got = _strong.setdefault(salt, [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(got[0]) < n:
+        p, base = int(_P), _BASES[salt]
+        for k, r in enumerate((base, pow(base, -1, int(_P)))):
+            a = got[k]
+            while len(a) < n:
+                a = np.concatenate([a, mulmod(a, np.uint64(pow(r, len(a), p)))])
+            got[k] = a
+    return got[0][:n], got[1][:n]
+
+
+class Strong:
+    """Hashes of spans of a sequence of values below 2^61 - 1; two different spans of n values have equal
+    hashes with a probability of n / 2^61, whatever they are."""
+
+    def __init__(self, values: np.ndarray, salt: int = 0):
+        up, self.down = _strong_powers(len(values) + 1, salt)
+        term = mulmod(values, up[:-1])
+        high, low = np.cumsum(term >> _U32, dtype=np.uint64), np.cumsum(term & _LOW32, dtype=np.uint64)
+        total = mulmod(high, np.uint64(1 << 32)) + low % _P
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        self.sums[1:] = np.where(total >= _P, total - _P, total)
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = self.sums[end], self.sums[start]
+        d = np.where(a >= b, a - b, a + _P - b)
+        with np.errstate(over="ignore"):
+            return mix(mulmod(d, self.down[start]) ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def digest(data: bytes, salt: int = 0) -> int:
+    """64 bits of a cryptographic hash."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=bytes([salt])).digest(), "little")
+
+
+def chained(words: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` 64-bit values: mixed one after the other, so no sum or product of them can be forged."""
+    h = np.full(len(start), np.uint64(size))
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[start + k])
+    return h
+
+
+def strong_words(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of words: polynomials modulo 2^61 - 1 over their pieces of seven bytes."""
+    base, size = np.uint64(_BASES[salt]), ends - starts
+    h = np.zeros(len(starts), np.uint64)
+    eight = np.lib.stride_tricks.as_strided(np.concatenate([b, np.zeros(8, np.uint8)]), (len(b) + 1, 8), (1, 1))
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        piece = eight[starts[live] + at].view("<u8").ravel()
+        left = np.minimum(size[live] - at, 7).astype(np.uint64)
+        piece = piece & ((np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
+        t = (mulmod(h[live], base) if at else h[live]) + piece + np.uint64(1)
+        h[live] = np.where(t >= _P, t - _P, t)
+        at += 7
+        live = live[size[live] > at]
+        if at >= 140 and len(live):  # the few endless ones
+            for k in live.tolist():
+                h[k] = digest(b[starts[k] : ends[k]].tobytes(), salt)
+            break
+    with np.errstate(over="ignore"):
+        return mix(h ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def byte_values(b: np.ndarray) -> np.ndarray:
     return _TABLE[b]
 
@@ -137,17 +246,29 @@ def anchors(prefix: Prefix, rows: np.ndarray, window: int, gram: int) -> tuple[n
     at the same place inside them. Neighbouring windows mostly share an anchor. Returns, for each
     anchor, (row, first window start, last window start, hash of the gram).
     """
-    n = int(rows[-1])
+    if int(rows[-1]) < PART:
+        return _anchors(prefix, rows, window, gram, 0)
+    out = []  # windows are dealt with in parts: an anchor whose windows two parts share has two runs
+    for lo in range(0, int(rows[-1]), PART):
+        cut = np.clip(rows, lo, lo + PART + window - 1)
+        out.append(_anchors(prefix, cut, window, gram, lo))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: Units whose windows are worked on at once.
+PART = 1 << 26
+
+
+def _anchors(prefix: Prefix, rows: np.ndarray, window: int, gram: int, base: int) -> tuple[np.ndarray, ...]:
+    n = int(rows[-1]) - base
     starts, row = window_starts(rows, window)
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
-    if n >= 1 << 28:
-        raise ValueError("a text of over 268 million units must be split first")
     at = np.arange(n - gram + 1)
-    g = prefix.span(at, at + gram)
+    g = prefix.span(at + base, at + base + gram)
     best = sliding_min((g & ~_PLACE) | at.astype(np.uint64), window - gram + 1)
-    place = (best[starts] & _PLACE).astype(np.int64)
+    place = (best[starts - base] & _PLACE).astype(np.int64)
     new = np.empty(len(starts), bool)
     new[0], new[1:] = True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)

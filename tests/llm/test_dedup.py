@@ -1,10 +1,12 @@
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellforge.llm import components, partenum, substring_dedup, suffix_dedup
+from cellforge.llm import common, components, partenum, repeats, substring_dedup, suffix_dedup
+from cellforge.llm import textnum as tn
 from tests.llm import brute
 from tests.llm.corpus import documents
 
@@ -59,13 +61,85 @@ def test_shards_merge_by_binary_search():
 
 def test_automaton():
     rng = np.random.default_rng(2)
-    seqs = [rng.integers(0, 3, 30) for _ in range(20)]
-    got, seen = substring_dedup.earlier_windows(seqs, 5), set()
-    for s, g in zip(seqs, got):
-        t = s.tolist()
+    seqs = [[b"%d" % x for x in rng.integers(0, 3, 30)] for _ in range(20)]
+    runs = [(n // 2, 40 * (n % 2), b" ".join(s)) for n, s in enumerate(seqs)]
+    found, _ = substring_dedup.index(runs, [], True, 5)
+    got, seen = set(), set()
+    for key, s, e in found:
+        got.update((key, p) for p in range(s, e))
+    want = set()
+    for (key, lo, _), t in zip(runs, seqs):
         wins = [tuple(t[i : i + 5]) for i in range(26)]
-        assert g.tolist() == [i for i, w in enumerate(wins) if w in seen]
+        want.update((key, lo + p) for i, w in enumerate(wins) if w in seen for p in range(i, i + 5))
         seen.update(wins)
+    assert got == want
+
+
+def test_only_earlier_places_count():
+    """A run that the reference itself holds is no repeat; nor is one that only starts later."""
+    body = b" ".join(b"w%d" % n for n in range(30))
+    assert substring_dedup.index([(1, 0, body)], [(1, 0, body)], False) == ([], [(1, 0, body)])
+    assert substring_dedup.index([(1, 0, body)], [(0, 5, body)], False) == ([], [(0, 5, body)])
+    assert substring_dedup.index([(1, 0, body)], [(2, 5, body)], False) == ([(2, 5, 35)], [])
+    raw = body * 3
+    assert suffix_dedup.index([(1, 0, raw)], [(1, 0, raw)], False, 50) == ([], [(1, 0, raw)])
+    assert suffix_dedup.index([(1, 0, raw)], [(1, 0, body)], False, 50) == ([(1, 0, len(body))], [])
+    assert suffix_dedup.index([(1, 0, raw + b"\0" * 60), (4, 0, b"\0" * 90)], [(2, 7, b"\0" * 60), (3, 0, b"\0" * 91)], False, 50) == ([(2, 7, 67)], [(3, 0, b"\0" * 91)])
+
+
+def thue_morse(n=1024):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+def test_constructed_collisions(spark):
+    """Words that polynomial hashes modulo 2^64 cannot tell apart, whatever their base and table."""
+    tail = " " + " ".join(f"t{i}" for i in range(19))
+    one, two = thue_morse()
+    assert tn.word_hashes(np.frombuffer(one.encode(), np.uint8), np.array([0]), np.array([1024])) == tn.word_hashes(np.frombuffer(two.encode(), np.uint8), np.array([0]), np.array([1024]))
+    docs = [(1, one + two + tail), (2, two + one + tail)]
+    assert sorted(r.n_removed for r in substring_dedup.dedup(frame(spark, docs)).collect()) == [0, 0]
+    docs = [(1, one), (2, two)]
+    assert sorted(r.component_id for r in partenum.join_components(frame(spark, docs)).collect()) == [1, 2]
+    docs = [(1, one + two), (2, two + one)]
+    assert Counter(map(tuple, suffix_dedup.dedup(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")).collect())) == brute.suffix_dedup(docs)
+
+
+def test_refused_claims_remove_nothing(spark, monkeypatch):
+    """Were all digests equal, wrong claims would be refused and another salt tried."""
+    keyed = common.with_key(frame(spark, documents(1)), "keyed")
+    units, index, real = repeats.Units("word", 20, 5), partial(substring_dedup.index, window=20), repeats.occurrences
+    monkeypatch.setattr(repeats, "occurrences", lambda *a: real(*a).withColumn("ctx", F.lit(7).cast("long")))
+    assert repeats._attempt(keyed, units, index, True, 2048, 2048, 0) is None
+    with pytest.raises(RuntimeError):
+        repeats.repeated_spans(keyed, units, index, True)
+
+
+def test_long_witnesses_are_cut_and_hot_ones_copied(spark, monkeypatch):
+    monkeypatch.setattr(repeats.Units, "shard", property(lambda self: 240 if self.kind == "word" else 2400))
+    rng = np.random.default_rng(8)
+    long = [f"v{x}" for x in rng.integers(0, 10**6, 300)]
+    docs = [(n, " ".join(long if n % 3 else long[n:] + ["x"] * 3 + long[: n + 25])) for n in range(30)]
+    got = substring_dedup.dedup(frame(spark, docs)).select("doc_id", "n_words", "n_removed", sha("kept_text")).collect()
+    assert Counter(map(tuple, got)) == brute.substring_dedup(docs)
+    got = suffix_dedup.dedup(frame(spark, docs), 60, 10).select("doc_id", "n_bytes", "n_removed", "n_spans", sha("kept")).collect()
+    assert Counter(map(tuple, got)) == brute.suffix_dedup(docs, 60)
+
+
+def test_windows_of_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 5, 900).astype(np.uint64)
+    rows = np.array([0, 10, 400, 400, 900])
+
+    def starts():
+        row, lo, hi, h = tn.anchors(tn.Prefix(values), rows, 20, 5)
+        return sorted((int(r), int(p), int(g)) for r, a, z, g in zip(row, lo, hi, h) for p in range(a, z + 1))
+
+    whole = starts()
+    monkeypatch.setattr(tn, "PART", 64)
+    assert starts() == whole
 
 
 @pytest.mark.parametrize("block", [512, 3])
