@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textnum as tn
+from .shingles import Shingles
 
 #: Sets that one task compares with each other, or with as many others.
 BLOCK = 512
@@ -56,11 +58,12 @@ def connected(edges: DataFrame, name: str = "star") -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
+def _links(ids: np.ndarray, sets: list[np.ndarray], exact: Callable[[int], frozenset], percent: int, left: int | None = None) -> list[tuple[int, int]]:
     """Links that span the same components as all pairs with 100 * |A and B| >= percent * |A or B|.
 
-    Intersections come from a product of incidence matrices over the elements that several sets share,
-    a slice of columns at a time. With ``left`` only pairs across that place are compared.
+    Intersections of hashed sets come from a product of incidence matrices over the elements that
+    several sets share, a slice of columns at a time; a link counts once the sets themselves,
+    ``exact(n)``, agree. With ``left`` only pairs across that place are compared.
     """
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -97,13 +100,18 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | No
     for p, q in zip(x.tolist(), y.tolist()):
         if p != q:
             f, g = find(p), find(q)
-            if f != g:
+            if f != g and _similar(exact(p), exact(q), percent):
                 root[f] = g
                 out.append((int(ids[p]), int(ids[q])))
     return out
 
 
-def _compare(sets_of: Callable, percent: int):
+def _similar(a: frozenset, b: frozenset, percent: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _compare(kind: Shingles, percent: int):
     """Group function: rows (sid, z, side) -> spanning links."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,10 +123,10 @@ def _compare(sets_of: Callable, percent: int):
         offs = np.append(0, np.cumsum([len(r) for r in raw]))
         data, sets = np.frombuffer(b"".join(raw), np.uint8), []
         for i, j in tn.chunks(offs):
-            sets += sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            sets += kind.sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         side = pdf["side"].to_numpy()
         left = int((side == 0).sum()) if (side == 1).any() else None
-        links = _links(pdf["sid"].to_numpy(), sets, percent, left)
+        links = _links(pdf["sid"].to_numpy(), sets, lru_cache(4096)(lambda n: kind.exact(raw[n])), percent, left)
         return pd.DataFrame({"a": np.array([l[0] for l in links], np.int64), "b": np.array([l[1] for l in links], np.int64)})
 
     return run
@@ -144,7 +152,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.mapInArrow(pack, "_key long, z binary").join(want, "_key").select("sid", "n", "z")
 
 
-def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[DataFrame], sets_of: Callable, percent: int, block: int = BLOCK) -> DataFrame:
+def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[DataFrame], kind: Shingles, percent: int, block: int = BLOCK) -> DataFrame:
     """(sid, comp) of every set that is linked to another: 100 * |A and B| >= percent * |A or B|.
 
     ``nodes`` has each different set once (sid, n elements, key of a document that has it);
@@ -158,14 +166,14 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[Data
     sets, then, of what these links have not joined to the cluster's main component, every block with all blocks
     whose sizes allow the similarity. Tasks return spanning links, never pairs.
     """
-    parts, stars = signatures if isinstance(signatures, list) else [signatures], None
-    for part in parts:
+    given, stars = signatures if isinstance(signatures, list) else [signatures], None
+    for part in given:
         sig = common.keep(part, "signatures")
         total = max(1, sig.count())
         shared = sig.groupBy("sig").agg(F.min("sid").alias("m"), F.max("sid").alias("top"), F.count("*").alias("n")).where("m <> top").drop("top")
         shared = common.keep(shared, "shared")
         found = common.hot_join(sig, shared, ["sig"], "n", total).where("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b")).distinct()
-        if len(parts) > 1:
+        if len(given) > 1:
             found = common.keep(found, "stars")
             common.discard(sig, shared)
         stars = found if stars is None else stars.unionByName(found)
@@ -174,22 +182,28 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[Data
     texts = common.keep(_texts(docs, member.select("sid", "n", "key")), "texts")
     member = common.keep(member.select("sid", "n", "cluster"), "member")
     sizes = member.groupBy("cluster").agg(F.count("*").alias("size"))
-    compare = _compare(sets_of, percent)
+    compare = _compare(kind, percent)
+    rows, parts = member.count(), common.shuffle_parts(docs.sparkSession)
+
+    def dealt(rows_: DataFrame, *keys: str) -> DataFrame:
+        """Into tasks of like work at any size: comparing is long for the bytes it takes, which is all that Spark would go by."""
+        return rows_.repartition(max(parts, rows // block), *keys).groupBy(*keys).applyInPandas(compare, "a long, b long")
+
     kept = texts.select("sid", "z")
 
     small = member.join(sizes.where(F.col("size") <= block), "cluster").select("sid", "cluster")
     # clusters are many and mostly tiny: several share a group, which compares a cluster's sets only
-    links = kept.join(small, "sid").withColumn("side", F.lit(0)).groupBy("cluster").applyInPandas(compare, "a long, b long")
+    links = dealt(kept.join(small, "sid").withColumn("side", F.lit(0)), "cluster")
 
     large = common.keep(sizes.where(F.col("size") > block), "large")
     if large.limit(1).count():
-        big = common.keep(common.hot_join(member, large, ["cluster"], "size", max(1, member.count())), "big")
+        big = common.keep(common.hot_join(member, large, ["cluster"], "size", max(1, rows)), "big")
         diagonal = _blocks(big, block)
         first = big.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.xxhash64("sid") % F.greatest(F.lit(1), F.col("size") / 64).cast("long") == 0, F.col("sid")))), 1, 4).alias("lead"))
         lead = first.select("cluster", F.explode("lead").alias("sid"))
         with_lead = diagonal.select("cluster", "blk").distinct().join(lead, "cluster").join(diagonal.select("cluster", "blk", "sid").withColumn("own", F.lit(1)), ["cluster", "blk", "sid"], "left").where("own is null").select("cluster", "blk", "sid")
-        rows = diagonal.select("cluster", "blk", "sid").unionByName(with_lead)
-        near = common.keep(kept.join(rows, "sid").withColumn("side", F.lit(0)).groupBy("cluster", "blk").applyInPandas(compare, "a long, b long"), "near")
+        both = diagonal.select("cluster", "blk", "sid").unionByName(with_lead)
+        near = common.keep(dealt(kept.join(both, "sid").withColumn("side", F.lit(0)), "cluster", "blk"), "near")
         links = links.unionByName(near)
         label = connected(near, "label").withColumnRenamed("node", "sid")
         big = common.keep(big.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "labelled")
@@ -207,7 +221,7 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[Data
         left = cut.where("not is_main").join(tasks, (F.col("cluster") == F.col("c")) & (F.col("blk") == F.col("x"))).select(*names, F.lit(0).alias("side"))
         on = (F.col("cluster") == F.col("c")) & (F.col("blk") == F.col("y")) & (F.col("is_main") == F.col("ymain"))
         right = cut.join(tasks.where("not same"), on).select(*names, F.lit(1).alias("side"))
-        far = kept.join(left.unionByName(right), "sid").groupBy("c", "x", "ymain", "y").applyInPandas(compare, "a long, b long")
+        far = dealt(kept.join(left.unionByName(right), "sid"), "c", "x", "ymain", "y")
         links = links.unionByName(far)
     return connected(links, "links").withColumnRenamed("node", "sid")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textnum as tn
+from .shingles import Shingles, shingle_hashes
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -28,24 +29,9 @@ _A = _rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.
 _B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 
 
-def shingle_hashes(b: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every shingle, row offsets): all windows of ``size`` words, or the whole of a shorter text."""
-    s, e, rows = tn.word_spans(b, offsets)
-    p = tn.Prefix(tn.word_hashes(b, s, e))
-    n = np.diff(rows)
-    start, row = tn.window_starts(rows, size)
-    short = np.flatnonzero((n > 0) & (n < size))
-    h = np.concatenate([p.span(start, start + size), p.span(rows[short], rows[short + 1])])
-    row = np.concatenate([row, short])
-    if len(short):
-        order = np.argsort(row, kind="stable")
-        h, row = h[order], row[order]
-    return h, np.searchsorted(row, np.arange(len(n) + 1))
-
-
 def signatures(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, PERMUTATIONS) of 16 bits; 0xFFFF in all places for a text without words."""
-    h, rows = shingle_hashes(b, offsets)
+    h, rows = shingle_hashes(b, offsets, SHINGLE)
     out = np.full((len(rows) - 1, PERMUTATIONS), 0xFFFF, np.uint16)
     has = np.flatnonzero(np.diff(rows))
     if len(has):
@@ -143,15 +129,11 @@ def _compare(ids: pa.Array, texts: pa.Array, i: np.ndarray, j: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def shingle_sets(b: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    h, rows = shingle_hashes(b, offsets)
-    return [np.unique(h[rows[r] : rows[r + 1]]) for r in range(len(rows) - 1)]
+KIND = Shingles(SHINGLE, lower=False)
 
 
-def band_table(keyed: DataFrame) -> DataFrame:
+def band_table(keyed: DataFrame, bad: np.ndarray) -> DataFrame:
     """(sig, sid): a signature for each band of a document's fingerprint."""
-    from .partenum import set_id
-
     wide = PERMUTATIONS // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +141,12 @@ def band_table(keyed: DataFrame) -> DataFrame:
             data, offs = tn.buffer(batch.column(0))
             for x, y in tn.chunks(offs):
                 b, o = data[offs[x] : offs[y]], offs[x : y + 1] - offs[x]
-                sets = shingle_sets(b, o)
-                has = [r for r, s in enumerate(sets) if len(s)]
+                raw = b.tobytes()
+                ids = [KIND.ids(raw[o[r] : o[r + 1]], bad)[0] for r in range(y - x)]
+                has = [r for r, k in enumerate(ids) if k is not None]
                 if not has:
                     continue
-                sid = np.array([set_id(sets[r]) for r in has], np.int64)
+                sid = np.array([ids[r] for r in has], np.int64)
                 bands = signatures(b, o)[has].astype(np.uint64).reshape(len(has), BANDS, wide)
                 with np.errstate(over="ignore"):
                     key = (bands << (np.arange(wide, dtype=np.uint64) * np.uint64(16))).sum(2) + tn.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
@@ -182,9 +165,9 @@ def near_duplicates(docs: DataFrame, percent: int = int(100 * SIMILARITY)) -> Da
     from . import components, partenum
 
     keyed = common.with_key(docs.select("doc_id", "text"), "keyed")
-    nodes = common.keep(partenum.node_table(keyed, shingle_sets), "nodes")
+    nodes, bad = partenum.nodes_of(keyed, KIND)
     sets = nodes.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("_key").alias("key"))
-    linked = components.similar(keyed, sets, band_table(keyed), shingle_sets, percent)
+    linked = components.similar(keyed, sets, band_table(keyed, bad), KIND, percent)
     return partenum.attach(keyed, nodes, linked)
 
 

@@ -1,16 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of one size band that are similar enough differ in at most k elements. The feature domain is
-partitioned by hash into n1 parts of two halves each, and a set has a signature for each one-half
-subset of each part: with 2 * n1 > k halves, two sets within distance k agree on at least one. A set
-is indexed in its own band and, if it can be the smaller partner there, in the next.
+partitioned by hash into n1 parts, each of them into N2 smaller ones. With 2 * n1 > k some part holds
+at most one of the differences, so that two of its three smaller parts are free of any; a set has a
+signature for each two of three smaller parts of each part, and similar sets share one. A set is
+indexed in its own band and, if it can be the smaller partner there, in the next.
+
+Bands of over DOMAIN elements look only at the share of the feature domain, fixed by the band and
+chosen by hash, in which DOMAIN elements fall: signatures stay a few hundred however large the sets.
+There k is the expected number of differences in that share and SIGMAS deviations more; a pair
+exceeds that with a probability below 1e-12, whatever the sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,16 @@ from pyspark.sql import functions as F
 
 from . import common, components
 from . import textnum as tn
-from .fingerprints import shingle_hashes
+from .shingles import Shingles
 
 SHINGLE = 3
 PERCENT = 90
-#: Halves a set may have empty without indexing them: an agreement on one of the others is then certain.
-SPARE = 2
+#: Smaller parts of a part, and how many of them a signature covers.
+N2, COVER = 3, 2
+#: Elements from which on a band looks at a share of the domain, and the deviations allowed for there.
+DOMAIN, SIGMAS = 1024, 8
+#: Parts with an empty signature that a set may have without indexing those: another part is then certain to agree.
+SPARE = 1
 #: Ratio of a band's bounds, about: a whole power of 100 / percent.
 BAND_RATIO = (100 / 90) ** 3
 
@@ -44,21 +53,33 @@ def distance(hi: int, percent: int = PERCENT) -> int:
     return (2 * hi * (100 - percent)) // (100 + percent)
 
 
-def spare(lo: int, hi: int, percent: int = PERCENT) -> int:
-    """SPARE, and more where halves are so small that the band's least sets leave many empty.
+def share(hi: int) -> float:
+    """The share of the feature domain that a band looks at."""
+    return min(1.0, DOMAIN / hi)
+
+
+def allowed(hi: int, percent: int = PERCENT) -> int:
+    """The differences that a band allows for, in its share of the domain."""
+    k = distance(hi, percent)
+    if hi <= DOMAIN:
+        return k
+    mean = k * share(hi)
+    return math.ceil(mean + SIGMAS * math.sqrt(mean) + SIGMAS)
 
-    Signatures of empty halves say nothing, and would put all sets of the band into one cluster.
-    """
-    k, more = distance(hi, percent), 0
-    for _ in range(10):
-        m = k + 1 + SPARE + more
-        e = m * math.exp(-lo * percent / 100 / m)
-        more = min(k // 2, int(e + 2 * math.sqrt(e)) if e >= 1 else 0)
-    return SPARE + more
 
+def layout(lo: int, hi: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(parts, spare parts) of a band.
 
-def halves(lo: int, hi: int, percent: int = PERCENT) -> int:
-    return 2 * -(-(distance(hi, percent) + 1 + spare(lo, hi, percent)) // 2)
+    Signatures of empty smaller parts say nothing and would put all sets of the band into one cluster.
+    Spare parts make up for those that are left out: as many as the band's least sets may have.
+    """
+    least = allowed(hi, percent) // COVER + 1
+    size, more = lo * percent / 100 * share(hi), 0
+    for _ in range(10):
+        parts = least + SPARE + more
+        e = parts * N2 * math.exp(-size * COVER / N2 / parts)
+        more = min(least, math.ceil(e + 2 * math.sqrt(e))) if e >= 0.2 else 0
+    return least + SPARE + more, SPARE + more
 
 
 def passes(percent: int = PERCENT) -> int:
@@ -70,60 +91,62 @@ _BANDS: dict[int, np.ndarray] = {}
 
 
 def signatures_of(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The signatures of one set of different 64-bit element hashes.
-
-    None in bands where only equal sets can be similar: equal sets are one node already.
-    """
+    """The signatures of one set of different 64-bit element hashes, in ascending order."""
     n = len(elements)
     b = _BANDS.setdefault(percent, bands(percent))
     own = int(np.searchsorted(b, n, side="right")) - 1
     out = []
     for i in (own, own + 1):
         lo, hi = int(b[i]), int(b[i + 1]) - 1
-        if i > own and n * 100 < lo * percent or distance(hi, percent) < 1:
+        if i > own and n * 100 < lo * percent:
             continue
-        m, free = halves(lo, hi, percent), spare(lo, hi, percent)
-        place = ((elements >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        order = np.argsort(place, kind="stable")
-        place = place[order].astype(np.int64)
-        used, first = np.unique(place, return_index=True)
+        parts, spare = layout(lo, hi, percent)
+        some = elements if hi <= DOMAIN else elements[(tn.mix(elements ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) < np.uint64(share(hi) * 2**53)]
+        place = (((some >> np.uint64(32)) * np.uint64(N2 * parts)) >> np.uint64(32)).astype(np.int64)  # ascending, as the elements are
+        bounds = np.searchsorted(place, np.arange(N2 * parts + 1))
         with np.errstate(over="ignore"):
-            part = np.add.reduceat(tn.mix(elements[order] + np.uint64(i)), first) if n else np.zeros(0, np.uint64)
-            if m - len(used) > free:
-                empty = np.setdiff1d(np.arange(m), used)
-                used, part = np.concatenate([used, empty]), np.concatenate([part, np.zeros(len(empty), np.uint64)])
-            out.append(tn.mix(part + np.uint64(0xA24BAED4963EE407) * (used.astype(np.uint64) + np.uint64(1)) + np.uint64(i << 40)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            total = np.append(np.uint64(0), np.cumsum(tn.mix(some + np.uint64(i))))
+            part = (total[bounds[1:]] - total[bounds[:-1]]).reshape(parts, N2)
+            size = np.diff(bounds).reshape(parts, N2)
+            first = np.arange(parts, dtype=np.uint64) * np.uint64(8) + np.uint64(i << 40)
+            sig = np.stack([tn.mix(tn.mix(part[:, x] + first + np.uint64(x)) + part[:, y] + np.uint64(y)) for x in range(N2) for y in range(x + 1, N2)], 1)
+        empty = np.stack([size[:, x] + size[:, y] == 0 for x in range(N2) for y in range(x + 1, N2)], 1)
+        out.append(sig[~empty] if empty.any(1).sum() <= spare else sig.ravel())
+    return np.concatenate(out)
 
 
-def element_sets(b: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
-    """The different shingles of ``size`` words of each text, ASCII letters lower-cased."""
-    h, rows = shingle_hashes(tn.lower_ascii(b), offsets, size)
-    return [np.unique(h[rows[r] : rows[r + 1]]) for r in range(len(rows) - 1)]
-
-
-def set_id(s: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(tn.mix(tn.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
-
-
-def node_table(keyed: DataFrame, sets_of=element_sets) -> DataFrame:
-    """(_key, n, sid): each document's set size and a 64-bit hash of the set, null for an empty set."""
+def node_table(keyed: DataFrame, kind: Shingles, bad: np.ndarray) -> DataFrame:
+    """(_key, n, sid, tag): each document's set size and the id of its word sequence, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tn.buffer(batch.column(1))
-            n, sid = [], []
+            n, ids = [], []
             for i, j in tn.chunks(offs):
-                for s in sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                    n.append(len(s))
-                    sid.append(set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["_key", "n", "sid"])
-
-    return keyed.select("_key", "text").mapInArrow(run, "_key long, n long, sid long")
-
-
-def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCENT, part: int = 0, parts: int = 1) -> DataFrame:
+                b, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                raw = b.tobytes()
+                n += [len(s) for s in kind.sets(b, o)]
+                ids += [kind.ids(raw[o[r] : o[r + 1]], bad) for r in range(j - i)]
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_key", "n", "sid", "tag"])
+
+    return keyed.select("_key", "text").mapInArrow(run, "_key long, n long, sid long, tag long")
+
+
+def nodes_of(keyed: DataFrame, kind: Shingles) -> tuple[DataFrame, np.ndarray]:
+    """The stored node table, and the ids that had several tags on the way: no id stands for two word sequences."""
+    bad = np.zeros(0, np.int64)
+    while True:
+        nodes = common.keep(node_table(keyed, kind, bad), "nodes")
+        clash = nodes.where("sid is not null").groupBy("sid").agg(F.min("tag").alias("a"), F.max("tag").alias("z")).where("a <> z")
+        more = np.array([r["sid"] for r in clash.select("sid").limit(100_000).collect()], np.int64)  # about documents^2 / 2^65
+        if not len(more):
+            return nodes.drop("tag"), bad
+        common.discard(nodes)
+        bad = np.union1d(bad, more)
+
+
+def signature_table(keyed: DataFrame, kind: Shingles, bad: np.ndarray, percent: int = PERCENT, part: int = 0, parts: int = 1) -> DataFrame:
     """(sig, sid) of one of ``parts`` parts of the signatures; sets that a batch repeats are written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +154,10 @@ def signature_table(keyed: DataFrame, sets_of=element_sets, percent: int = PERCE
             data, offs = tn.buffer(batch.column(0))
             seen = set()
             for i, j in tn.chunks(offs):
-                sig, sid = [], []
-                for s in sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                    if len(s) and (x := set_id(s)) not in seen:
+                b, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                raw, sig, sid = b.tobytes(), [], []
+                for r, s in enumerate(kind.sets(b, o)):
+                    if len(s) and (x := kind.ids(raw[o[r] : o[r + 1]], bad)[0]) not in seen:
                         seen.add(x)
                         own = signatures_of(s, percent)
                         sig.append(own[own % np.uint64(parts) == part] if parts > 1 else own)
@@ -151,17 +175,17 @@ def join_components(docs: DataFrame, percent: int = PERCENT, block: int = compon
     of ``shingle`` words (ASCII letters lower-cased; with fewer words the whole sequence is the one shingle). A
     document without words has no set and links with nothing: its component is itself. Rows that
     repeat a doc_id, or have none, are documents of their own; a component of null ids only is null.
-    Extra columns pass through, unless the operator makes one of that name. Sets are told apart by
-    64-bit hashes, links are decided on the sets' elements.
+    Extra columns pass through, unless the operator makes one of that name. Links are decided on the
+    sets themselves, never on hashes of their elements; copies are known by 128-bit digests.
     """
     plain, _ = common.stash(docs)
     keyed = common.with_key(plain, "keyed")
-    sets_of = partial(element_sets, size=shingle)
-    nodes = common.keep(node_table(keyed, sets_of), "nodes")
+    kind = Shingles(shingle, lower=True)
+    nodes, bad = nodes_of(keyed, kind)
     sets = nodes.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("_key").alias("key"))
     parts = passes(percent)
-    signatures = [signature_table(keyed, sets_of, percent, p, parts) for p in range(parts)]
-    linked = components.similar(keyed, sets, signatures, sets_of, percent, block)
+    signatures = [signature_table(keyed, kind, bad, percent, p, parts) for p in range(parts)]
+    linked = components.similar(keyed, sets, signatures, kind, percent, block)
     found = attach(keyed.select("_key", "doc_id"), nodes, linked)
     out = keyed.drop("doc_id").join(found.drop("text"), "_key")
     made = ["n_shingles", "component_id", "is_first"]

@@ -159,12 +159,12 @@ def _flat(batch: pa.RecordBatch) -> tuple[list[pa.Array], np.ndarray]:
 
 
 def carried(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """The wanted runs (key, lo, size, g, kind) with ``body``: their units' bytes, whatever they are."""
+    """The wanted runs (key, lo, size, g, kind, h) with ``body``: their units' bytes, whatever they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tn.buffer(batch.column(1))
-            (lo, size, g, kind), at = _flat(batch)
+            (lo, size, g, kind, h), at = _flat(batch)
             lo, size = lo.to_numpy(zero_copy_only=False).astype(np.int64), size.to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in tn.chunks(offs):
                 b = data[offs[i] : offs[j]]
@@ -183,10 +183,10 @@ def carried(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
                 r = slice(at[i], at[j])
                 for x in range(0, len(body), 4096):
                     k = slice(x, x + 4096)
-                    cols = [batch.column(0).take(take[k]), pa.array(lo[r][k].astype(np.int32)), g[r][k], kind[r][k], pa.array(body[k], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "lo", "g", "kind", "body"])
+                    cols = [batch.column(0).take(take[k]), pa.array(lo[r][k].astype(np.int32)), g[r][k], kind[r][k], h[r][k], pa.array(body[k], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "lo", "g", "kind", "h", "body"])
 
-    return _runs(docs, wanted.select("key", "lo", "size", "g", "kind")).mapInArrow(run, "key long, lo int, g long, kind byte, body binary")
+    return _runs(docs, wanted.select("key", "lo", "size", "g", "kind", "h")).mapInArrow(run, "key long, lo int, g long, kind byte, h long, body binary")
 
 
 def windows_of(docs: DataFrame, wanted: DataFrame, units: Units, salt: int) -> DataFrame:
@@ -262,9 +262,10 @@ def repeated_spans(docs: DataFrame, units: Units, index: Index, keep_first: bool
 
     ``docs`` has ``_key`` (unique, ordering) and ``text``. With ``keep_first`` a window counts if an
     equal one starts earlier, by (key, start); else if an equal one starts anywhere else.
-    ``index(references, streamed, contested)`` gets (key, lo, bytes) of a shard. Contested: references
-    only, for each of which it returns the spans of windows that occur in another under the same
-    rule. Else it returns for each streamed run the spans that occur among the references.
+    ``index(references, streamed, contested)`` gets runs (key, lo, bytes, anchor) of a shard. Contested:
+    references only, for each of which it returns the spans of windows that occur in another of its
+    anchor under the same rule. Else it returns for each streamed run the spans that occur among the
+    references.
     """
     for salt in range(4):
         out = _attempt(docs, units, index, keep_first, hot, shard, salt)
@@ -306,7 +307,7 @@ def _attempt(docs: DataFrame, units: Units, index: Index, keep_first: bool, hot:
         hit = common.hot_join(wins, seen, ["h", "w"], "n", max(1, wins.count()))
         claims = claims.unionByName(_claim(hit, keep_first, "start", F.lit(w)))
     parts = max(1, -(-classes.count() // shard))
-    shards = light.select("key", "lo", (F.col("span") + w).alias("size"), F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(parts)).alias("g"), F.lit(0).cast("byte").alias("kind"))
+    shards = light.select("key", "lo", (F.col("span") + w).alias("size"), F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(parts)).alias("g"), F.lit(0).cast("byte").alias("kind"), "h")
 
     claims = common.keep(merged_claims(claims, units), "claims")
     common.discard(*used[:2], *used[4:])
@@ -314,14 +315,14 @@ def _attempt(docs: DataFrame, units: Units, index: Index, keep_first: bool, hot:
     common.discard(*used[2:4])
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "key", "lo"], kind="stable")
+        pdf = pdf.sort_values(["kind", "h", "key", "lo"], kind="stable")
         out = []
         contested = pdf["kind"].iloc[0] == 0
-        side = [list(zip(p["key"].tolist(), p["lo"].tolist(), p["body"].tolist())) for p in ((pdf, pdf[:0]) if contested else (pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]))]
+        side = [list(zip(p["key"].tolist(), p["lo"].tolist(), p["body"].tolist(), p["h"].tolist())) for p in ((pdf, pdf[:0]) if contested else (pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]))]
         found, refused = index(*side, contested)
         for key, s, e in found:
             out.append((key, s, e, True))
-        out += [(key, lo, lo, False) for key, lo, _ in refused]
+        out += [(run[0], run[1], run[1], False) for run in refused]
         return pd.DataFrame(out, columns=["key", "s", "e", "ok"]).astype({"key": "int64", "s": "int32", "e": "int32", "ok": "bool"})
 
     body = carried(docs, wanted, units)
@@ -334,7 +335,7 @@ def _attempt(docs: DataFrame, units: Units, index: Index, keep_first: bool, hot:
 
 
 def _witnessed(claims: DataFrame, units: Units) -> DataFrame:
-    """(key, lo, size, g, kind) of claims (kind 2) and of their witnesses (kind 1).
+    """(key, lo, size, g, kind, h) of claims (kind 2) and of their witnesses (kind 1).
 
     A witness's blocks are indexed apart. A block in demand gets a copy of its claimed range for each
     units.shard of claims, over which these are spread by their key. Copies and their claims are dealt
@@ -346,10 +347,10 @@ def _witnessed(claims: DataFrame, units: Units) -> DataFrame:
     size = demand.agg(F.sum(F.col("units") + F.col("copies") * (F.col("hi") - F.col("lo")))).first()[0] or 0
     shard = lambda salt: F.pmod(F.xxhash64("wkey", "b", salt), F.lit(max(1, -(-size // units.shard))))
     refs = demand.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    refs = refs.select(F.col("wkey").alias("key"), "lo", (F.col("hi") - F.col("lo")).alias("size"), shard("salt").alias("g"), F.lit(1).cast("byte").alias("kind"))
+    refs = refs.select(F.col("wkey").alias("key"), "lo", (F.col("hi") - F.col("lo")).alias("size"), shard("salt").alias("g"), F.lit(1).cast("byte").alias("kind"), F.lit(0).cast("long").alias("h"))
     many = demand.where("copies > 1").select("wkey", "b", "copies", "n")  # at most (all claimed units / units.shard) rows
     spread = common.hot_left_join(c, many, ["wkey", "b"], "n", max(1, claims.count())).withColumn("salt", F.pmod(F.xxhash64("key", "s"), F.coalesce("copies", F.lit(1).cast("long"))))
-    return refs.unionByName(spread.select("key", F.col("s").alias("lo"), "size", shard("salt").alias("g"), F.lit(2).cast("byte").alias("kind")))
+    return refs.unionByName(spread.select("key", F.col("s").alias("lo"), "size", shard("salt").alias("g"), F.lit(2).cast("byte").alias("kind"), F.lit(0).cast("long").alias("h")))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ its claims fill. All references are not broadcast to all tasks, since they grow
 from __future__ import annotations
 
 import bisect
+import itertools
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -74,11 +76,20 @@ class Automaton:
             p = link[p]
         return clone
 
+    def window(self, seq: list, start: int, window: int) -> tuple[int, int] | None:
+        """The first window of ``seq`` from ``start`` on that the automaton holds, as (offset, first place)."""
+        return next(self._windows(seq, start, window), None)
+
     def windows(self, seq: list, window: int) -> list[tuple[int, int]]:
-        """(offset, first place) of every window of ``seq`` that the automaton holds, by matching statistics."""
+        """(offset, first place) of every window of ``seq`` that the automaton holds."""
+        return list(self._windows(seq, 0, window))
+
+    def _windows(self, seq: list, start: int, window: int) -> Iterator[tuple[int, int]]:
+        """By matching statistics: the length of the longest match that ends at each word."""
         nxt, link, ln, first = self.next, self.link, self.len, self.first
-        at, l, out = 0, 0, []
-        for n, c in enumerate(seq):
+        at, l = 0, 0
+        for n in range(start, len(seq)):
+            c = seq[n]
             while at and c not in nxt[at]:
                 at = link[at]
                 l = ln[at]
@@ -91,33 +102,58 @@ class Automaton:
                 while ln[link[at]] >= window:  # the state of the window itself
                     at = link[at]
                     l = ln[at]
-                out.append((n - window + 1, first[at] - window + 1))
-        return out
+                yield n - window + 1, first[at] - window + 1
 
 
 def index(references: list, streamed: list, contested: bool, window: int = WINDOW) -> tuple[list, list]:
     """What a shard's automaton finds (see repeats.repeated_spans): (key, start, end) spans, and refused runs.
 
-    References come in order of (key, start), so the first place of a window is its earliest.
+    References come in order of (anchor, key, start), so the first place of a window is its earliest.
+    Contexts of different anchors share no window: each anchor has an automaton of its own. Words
+    become the numbers that a dictionary of the shard's words gives them.
     """
-    auto, starts, own, found, refused = Automaton(), [], [], [], []
-    for key, lo, body in references:
-        seq = body.split()
-        if contested:
-            offs = np.array([o for o, _ in auto.windows(seq, window)], np.int64)
-            found += [(key, lo + s, lo + e) for s, e in repeats.joined(offs, window)]
+    found, refused, numbers = [], [], {}
+    number = lambda body: [numbers.setdefault(w, len(numbers)) for w in body.split()]
+    if contested:
+        for _, group in itertools.groupby(references, key=lambda r: r[3]):
+            auto, last = Automaton(), None
+            for key, lo, body, _ in group:
+                if last is not None:
+                    auto.add(last)
+                last = number(body)
+                offs = [o for o, _ in auto.windows(last, window)] if auto.size else []
+                if offs:
+                    found += [(key, lo + s, lo + e) for s, e in repeats.joined(np.array(offs), window)]
+        return found, refused
+    auto, starts, own, text = Automaton(), [], [], []
+    for key, lo, body, _ in references:
+        seq = number(body)
         starts.append(auto.add(seq))
         own.append((key, lo))
-    for key, lo, body in streamed:
-        seq = body.split()
-        offs = []
-        for o, place in auto.windows(seq, window):
+        text.append(np.array(seq))
+    for run in streamed:
+        key, lo, body, _ = run
+        seq = number(body)
+        arr, at, spans = np.array(seq), 0, []
+        while at <= len(seq) - window:
+            hit = auto.window(seq, at, window)
+            if hit is None:
+                break
+            o, place = hit
             n = bisect.bisect_right(starts, place) - 1
-            if (own[n][0], own[n][1] + place - starts[n]) < (key, lo + o):
-                offs.append(o)
-        found += [(key, lo + s, lo + e) for s, e in repeats.joined(np.array(offs, np.int64), window)]
-        if len(offs) < len(seq) - window + 1:
-            refused.append((key, lo, body))
+            first = place - starts[n]
+            if (own[n][0], own[n][1] + first) >= (key, lo + o):
+                at = o + 1
+                continue
+            a, b = arr[o:], text[n][first:]  # where the match goes on in the reference itself, so do its windows
+            size = min(len(a), len(b))
+            differ = np.flatnonzero(a[:size] != b[:size])
+            end = o + (int(differ[0]) if len(differ) else size)
+            spans.append((o, end))
+            at = end - window + 1
+        found += [(key, lo + s, lo + e) for s, e in spans]
+        if not spans or spans[0][0] > 0 or spans[-1][1] < len(seq) or any(b > e - window + 1 for (_, e), (b, _) in itertools.pairwise(spans)):
+            refused.append(run)
     return found, refused
 
 

@@ -184,11 +184,11 @@ def _compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, window:
 
 
 class Reference:
-    """A suffix array over some runs (key, lo, bytes), for searching whole runs."""
+    """A suffix array over some runs (key, lo, bytes, anchor), for searching whole runs."""
 
-    def __init__(self, runs: list[tuple[int, int, bytes]], window: int) -> None:
-        self.data = b"\0".join(body for _, _, body in runs) + b"\0"
-        self.ends, self.runs, self.window = np.cumsum([len(body) + 1 for _, _, body in runs]), runs, window
+    def __init__(self, runs: list[tuple[int, int, bytes, int]], window: int) -> None:
+        self.data = b"\0".join(r[2] for r in runs) + b"\0"
+        self.ends, self.runs, self.window = np.cumsum([len(r[2]) + 1 for r in runs]), runs, window
         symbols = np.frombuffer(self.data, np.uint8)
         self.sa = suffix_array(symbols.astype(np.int64))
         self.lcp = kasai(symbols, np.arange(len(symbols), 0, -1), self.sa, window)
@@ -210,7 +210,7 @@ class Reference:
                 return False
             n = int(np.searchsorted(self.ends, at, side="right"))
             start = at - (int(self.ends[n - 1]) if n else 0)
-            own, first, body = self.runs[n]
+            own, first, body, _ = self.runs[n]
             if start + len(run) <= len(body) and (own, first + start) != (key, lo):
                 return True
             a += 1
@@ -223,16 +223,17 @@ def index(references: list, streamed: list, contested: bool, window: int = WINDO
     """What a shard's suffix arrays find (see repeats.repeated_spans): (key, start, end) spans, and refused runs."""
     found, refused = [], []
     if contested:
-        offs = repeated_windows([np.frombuffer(body, np.uint8) for _, _, body in references], window)
-        for (key, lo, _), o in zip(references, offs):
+        offs = repeated_windows([np.frombuffer(r[2], np.uint8) for r in references], window)
+        for (key, lo, _, _), o in zip(references, offs):
             found += [(key, lo + s, lo + e) for s, e in repeats.joined(o, window)]
         return found, refused
     ref = Reference(references, window)
-    for key, lo, body in streamed:
+    for run in streamed:
+        key, lo, body, _ = run
         if ref.elsewhere(key, lo, body):
             found.append((key, lo, lo + len(body)))
         else:
-            refused.append((key, lo, body))
+            refused.append(run)
     return found, refused
 
 

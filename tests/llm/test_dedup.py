@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellforge.llm import common, components, partenum, repeats, substring_dedup, suffix_dedup
 from cellforge.llm import textnum as tn
+from cellforge.llm.shingles import Shingles
 from tests.llm import brute
 from tests.llm.corpus import documents
 
@@ -62,13 +63,13 @@ def test_shards_merge_by_binary_search():
 def test_automaton():
     rng = np.random.default_rng(2)
     seqs = [[b"%d" % x for x in rng.integers(0, 3, 30)] for _ in range(20)]
-    runs = [(n // 2, 40 * (n % 2), b" ".join(s)) for n, s in enumerate(seqs)]
+    runs = [(n // 2, 40 * (n % 2), b" ".join(s), 0) for n, s in enumerate(seqs)]
     found, _ = substring_dedup.index(runs, [], True, 5)
     got, seen = set(), set()
     for key, s, e in found:
         got.update((key, p) for p in range(s, e))
     want = set()
-    for (key, lo, _), t in zip(runs, seqs):
+    for (key, lo, _, _), t in zip(runs, seqs):
         wins = [tuple(t[i : i + 5]) for i in range(26)]
         want.update((key, lo + p) for i, w in enumerate(wins) if w in seen for p in range(i, i + 5))
         seen.update(wins)
@@ -78,13 +79,15 @@ def test_automaton():
 def test_only_earlier_places_count():
     """A run that the reference itself holds is no repeat; nor is one that only starts later."""
     body = b" ".join(b"w%d" % n for n in range(30))
-    assert substring_dedup.index([(1, 0, body)], [(1, 0, body)], False) == ([], [(1, 0, body)])
-    assert substring_dedup.index([(1, 0, body)], [(0, 5, body)], False) == ([], [(0, 5, body)])
-    assert substring_dedup.index([(1, 0, body)], [(2, 5, body)], False) == ([(2, 5, 35)], [])
-    raw = body * 3
-    assert suffix_dedup.index([(1, 0, raw)], [(1, 0, raw)], False, 50) == ([], [(1, 0, raw)])
-    assert suffix_dedup.index([(1, 0, raw)], [(1, 0, body)], False, 50) == ([(1, 0, len(body))], [])
-    assert suffix_dedup.index([(1, 0, raw + b"\0" * 60), (4, 0, b"\0" * 90)], [(2, 7, b"\0" * 60), (3, 0, b"\0" * 91)], False, 50) == ([(2, 7, 67)], [(3, 0, b"\0" * 91)])
+    words = lambda a, b: substring_dedup.index([(*a, body, 0)], [(*b, body, 0)], False)
+    assert words((1, 0), (1, 0)) == ([], [(1, 0, body, 0)])
+    assert words((1, 0), (0, 5)) == ([], [(0, 5, body, 0)])
+    assert words((1, 0), (2, 5)) == ([(2, 5, 35)], [])
+    raw, nul = body * 3, lambda n: b"\0" * n
+    suffixes = lambda refs, runs: suffix_dedup.index([(*r, 0) for r in refs], [(*r, 0) for r in runs], False, 50)
+    assert suffixes([(1, 0, raw)], [(1, 0, raw)]) == ([], [(1, 0, raw, 0)])
+    assert suffixes([(1, 0, raw)], [(1, 0, body)]) == ([(1, 0, len(body))], [])
+    assert suffixes([(1, 0, raw + nul(60)), (4, 0, nul(90))], [(2, 7, nul(60)), (3, 0, nul(91))]) == ([(2, 7, 67)], [(3, 0, nul(91), 0)])
 
 
 def thue_morse(n=1024):
@@ -180,11 +183,41 @@ def test_signatures_at_80_percent():
                 common = len(np.intersect1d(a, b))
                 if 100 * common >= 80 * (len(a) + len(b) - common) and set(a) != set(b):
                     assert sig(a) & sig(b)
-    # sets that have nothing in common share no signature, however many halves they leave empty
-    many = [sig(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (400, 401, 402, 403) * 20]
+    # sets that have nothing in common share no signature, however many parts they leave empty
+    many = [sig(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))) for n in (400, 401, 402, 403) * 20]
     assert len(set().union(*many)) == sum(map(len, many))
 
 
+def test_signatures_of_large_sets():
+    """A few hundred however large the set, and no similar pair is lost; sets of another kind share none."""
+    rng = np.random.default_rng(6)
+    for n in (1500, 6000, 100_000):
+        for percent in (90, 80):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            sig = partenum.signatures_of(a, percent)
+            assert len(sig) < (700 if percent == 90 else 2100)
+            for _ in range(5):
+                gone = partenum.distance(n, percent) // 2
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)]))
+                assert set(sig.tolist()) & set(partenum.signatures_of(b, percent).tolist())
+            assert not set(sig.tolist()) & set(partenum.signatures_of(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), percent).tolist())
+
+
+def test_ids_with_several_tags_are_told_apart():
+    kind = Shingles(3, lower=True)
+    none = np.zeros(0, np.int64)
+    one, tag = kind.ids(b"A b  c", none)
+    assert kind.ids(b"a\nb c ", none) == (one, tag) and kind.ids(b" \t", none) == (None, None)
+    assert kind.ids(b"a b c", np.array([one]))[0] != one and kind.ids(b"a b d", np.array([one])) == kind.ids(b"a b d", none)
+
+
+def test_links_are_decided_on_the_sets():
+    """Two sets whose hashes all agree, but which have nothing in common."""
+    h = np.arange(5, dtype=np.uint64)
+    exact = [frozenset("abcde"), frozenset("vwxyz"), frozenset("abcde")]
+    assert components._links(np.array([7, 8, 9]), [h, h, h], exact.__getitem__, 90) == [(7, 9)]
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (150, 300), (-5, 1000), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
