@@ -6,10 +6,10 @@ at most one of the differences, so that two of its three smaller parts are free
 signature for each two of three smaller parts of each part, and similar sets share one. A set is
 indexed in its own band and, if it can be the smaller partner there, in the next.
 
-Bands of over DOMAIN elements look only at the share of the feature domain, fixed by the band and
-chosen by hash, in which DOMAIN elements fall: signatures stay a few hundred however large the sets.
-There k is the expected number of differences in that share and SIGMAS deviations more; a pair
-exceeds that with a probability below 1e-12, whatever the sets.
+Where that makes more than PARTS parts, PARTS of them are indexed: signatures stay a few hundred however
+large the sets. The k differences fall on the parts by hash, two on each on average at the most, so
+that one part has at most one with a probability of 0.406; that none of 60 parts has, and a similar pair
+is missed, has a probability below 1e-13, whatever the sets.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Smaller parts of a part, and how many of them a signature covers.
 N2, COVER = 3, 2
-#: Elements from which on a band looks at a share of the domain, and the deviations allowed for there.
-DOMAIN, SIGMAS = 1024, 8
+#: Parts that are indexed at most.
+PARTS = 60
 #: Parts with an empty signature that a set may have without indexing those: another part is then certain to agree.
 SPARE = 1
 #: Ratio of a band's bounds, about: a whole power of 100 / percent.
@@ -53,31 +53,20 @@ def distance(hi: int, percent: int = PERCENT) -> int:
     return (2 * hi * (100 - percent)) // (100 + percent)
 
 
-def share(hi: int) -> float:
-    """The share of the feature domain that a band looks at."""
-    return min(1.0, DOMAIN / hi)
-
-
-def allowed(hi: int, percent: int = PERCENT) -> int:
-    """The differences that a band allows for, in its share of the domain."""
-    k = distance(hi, percent)
-    if hi <= DOMAIN:
-        return k
-    mean = k * share(hi)
-    return math.ceil(mean + SIGMAS * math.sqrt(mean) + SIGMAS)
-
-
 def layout(lo: int, hi: int, percent: int = PERCENT) -> tuple[int, int]:
     """(parts, spare parts) of a band.
 
     Signatures of empty smaller parts say nothing and would put all sets of the band into one cluster.
-    Spare parts make up for those that are left out: as many as the band's least sets may have.
+    Spare parts make up for those that are left out: as many as the band's least sets may have. Where
+    not all parts are indexed, empty signatures are left out without any.
     """
-    least = allowed(hi, percent) // COVER + 1
-    size, more = lo * percent / 100 * share(hi), 0
+    least = distance(hi, percent) // COVER + 1
+    if least > PARTS:
+        return least, least
+    more = 0
     for _ in range(10):
         parts = least + SPARE + more
-        e = parts * N2 * math.exp(-size * COVER / N2 / parts)
+        e = parts * N2 * math.exp(-lo * percent / 100 * COVER / N2 / parts)
         more = min(least, math.ceil(e + 2 * math.sqrt(e))) if e >= 0.2 else 0
     return least + SPARE + more, SPARE + more
 
@@ -101,14 +90,15 @@ def signatures_of(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         if i > own and n * 100 < lo * percent:
             continue
         parts, spare = layout(lo, hi, percent)
-        some = elements if hi <= DOMAIN else elements[(tn.mix(elements ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) < np.uint64(share(hi) * 2**53)]
-        place = (((some >> np.uint64(32)) * np.uint64(N2 * parts)) >> np.uint64(32)).astype(np.int64)  # ascending, as the elements are
-        bounds = np.searchsorted(place, np.arange(N2 * parts + 1))
+        place = (((elements >> np.uint64(32)) * np.uint64(N2 * parts)) >> np.uint64(32)).astype(np.int64)  # ascending, as the elements are
+        used = PARTS if parts == spare else parts
+        bounds = np.searchsorted(place, np.arange(N2 * used + 1))
+        some = elements[: bounds[-1]]
         with np.errstate(over="ignore"):
             total = np.append(np.uint64(0), np.cumsum(tn.mix(some + np.uint64(i))))
-            part = (total[bounds[1:]] - total[bounds[:-1]]).reshape(parts, N2)
-            size = np.diff(bounds).reshape(parts, N2)
-            first = np.arange(parts, dtype=np.uint64) * np.uint64(8) + np.uint64(i << 40)
+            part = (total[bounds[1:]] - total[bounds[:-1]]).reshape(used, N2)
+            size = np.diff(bounds).reshape(used, N2)
+            first = np.arange(used, dtype=np.uint64) * np.uint64(8) + np.uint64(i << 40)
             sig = np.stack([tn.mix(tn.mix(part[:, x] + first + np.uint64(x)) + part[:, y] + np.uint64(y)) for x in range(N2) for y in range(x + 1, N2)], 1)
         empty = np.stack([size[:, x] + size[:, y] == 0 for x in range(N2) for y in range(x + 1, N2)], 1)
         out.append(sig[~empty] if empty.any(1).sum() <= spare else sig.ravel())

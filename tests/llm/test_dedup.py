@@ -195,7 +195,7 @@ def test_signatures_of_large_sets():
         for percent in (90, 80):
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
             sig = partenum.signatures_of(a, percent)
-            assert len(sig) < (700 if percent == 90 else 2100)
+            assert len(sig) <= 2 * 3 * partenum.PARTS
             for _ in range(5):
                 gone = partenum.distance(n, percent) // 2
                 b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)]))
