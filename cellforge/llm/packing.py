@@ -1,11 +1,13 @@
 """Best-fit packing of token pieces into sequences, by a configuration linear program.
 
 A configuration says how many pieces of each length share a sequence. The covering program over
-the length histogram is solved by multiplicative weights: lengths whose demand is covered slowly
-grow dearer, and a knapsack dynamic program prices the next configuration. Its use is rounded down
-to whole sequences; what rounding leaves over is packed best-fit decreasing, on the histogram too.
-The driver only ever holds histograms of at most ``capacity`` lengths and the chosen
-configurations; pieces find their place by their rank among the pieces of their length.
+the length histogram is solved by multiplicative weights: each round prices configurations by a
+knapsack dynamic program, takes fractions of the best one for every length that still has demand,
+and raises the weights of lengths whose demand falls slowly. Weights divided by the best
+configuration's value are feasible for the dual program, so every round also gives a lower bound.
+The fractional solution is rounded down to whole sequences; what that leaves over is packed best-fit
+decreasing, on the histogram too. The driver only ever holds histograms of at most ``capacity``
+lengths and the chosen configurations; pieces find their place by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from . import common
 
 CAPACITY = 1024
 END_ID = 2
-#: Pricing rounds of the program, and how sharply uncovered demand raises a length's price.
-ROUNDS = 150
+#: Pricing rounds at most, the part of the demand (in volume) at which they end, and how sharply demand that is left raises a weight.
+ROUNDS = 60
+LEFT = 1e-3
 SHARPNESS = 0.5
 #: Premium on long pieces: among configurations that fill a sequence, those of few long pieces come
 #: first, and short pieces stay to fill the gaps of what is rounded.
 PREMIUM = 0.3
-#: Part of a configuration's remaining demand that one round takes.
-STEP = 0.5
+#: Configurations are priced as optimal down to this share of the best value.
+NEAR = 0.995
 #: Characters below this are split alike by both tokenizer libraries, whatever their Unicode tables.
 FIRST_SLOW = "\u0500"
 
@@ -44,14 +47,15 @@ _encoders: dict = {}
 
 
 def encoder(json_path: str, ranks_path: str | None):
-    """text -> ids. With ``ranks_path`` texts of the common scripts take the faster library that
-    reads the same vocabulary as ranks; all others take the tokenizers file itself."""
+    """text -> ids of the tokenizers file. With ``ranks_path`` texts of the common scripts take a faster
+    library that reads the same vocabulary as ranks and gives the same ids (tested for every character
+    below FIRST_SLOW); all others, and texts that hold a special token's string, take the file itself."""
     if (json_path, ranks_path) in _encoders:
         return _encoders[json_path, ranks_path]
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
+    special = [t.content for t in exact.get_added_tokens_decoder().values()]
     slow = lambda t: exact.encode(t, add_special_tokens=False).ids
     encode = slow
     if ranks_path:
@@ -65,7 +69,8 @@ def encoder(json_path: str, ranks_path: str | None):
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(t: str):
-            return fast.encode_ordinary(t) if t.isascii() or max(t) < FIRST_SLOW else slow(t)
+            plain = (t.isascii() or max(t) < FIRST_SLOW) and not any(x in t for x in special)
+            return fast.encode_ordinary(t) if plain else slow(t)
 
     _encoders[json_path, ranks_path] = encode
     return encode
@@ -114,39 +119,71 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, room: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration (copies of each length) of greatest value that fits: an unbounded knapsack
-    by dynamic programming over capacities, then cut to the copies that are left and refilled."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
+def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest value, last piece or -1) of every capacity: an unbounded knapsack by dynamic programming."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         k = upto[c]
         if k:
             got = best[c - lengths[:k]] + value[:k]
             j = int(got.argmax())
             if got[j] > best[c]:
                 best[c], pick[c] = got[j], j
-    copies, c = np.zeros(len(lengths), np.int64), capacity
+    return best, pick
+
+
+def filled(lengths: list[int], pick: list[int], first: int, capacity: int) -> dict[int, int]:
+    """The best configuration that holds piece ``first``, as copies of each piece."""
+    copies, c = {first: 1}, capacity - lengths[first]
     while c > 0:
-        if pick[c] < 0:
+        j = pick[c]
+        if j < 0:
             c -= 1
-            continue
-        copies[pick[c]] += 1
-        c -= lengths[pick[c]]
-    copies = np.minimum(copies, room)
-    free = capacity - int((copies * lengths).sum())
-    for j in range(int(np.searchsorted(lengths, free, side="right")) - 1, -1, -1):
-        if free < lengths[0]:
-            break
-        more = min(int(room[j] - copies[j]), free // int(lengths[j]))
-        if more > 0:
-            copies[j] += more
-            free -= more * int(lengths[j])
+        else:
+            copies[j] = copies.get(j, 0) + 1
+            c -= lengths[j]
     return copies
 
 
+def program(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """(fractional sequences of each configuration, lower bound on their sum): no length is covered beyond its demand."""
+    left, out = need.astype(float), {}
+    ls = lengths.tolist()
+    bound = max(float((need * lengths).sum()) / capacity, float(need[lengths > capacity // 2].sum()))
+    volume = float((need * lengths).sum())
+    for _ in range(rounds):
+        live = np.flatnonzero(left > 1e-9)
+        if float((left * lengths).sum()) <= LEFT * volume or not len(live):
+            break
+        behind = left[live] / need[live]
+        weight = lengths[live] * (1 + PREMIUM * lengths[live] / capacity) * np.exp(SHARPNESS * (behind - behind.mean()))
+        best, pick = knapsack(lengths[live], weight, capacity)
+        if len(live) == len(lengths):
+            bound = max(bound, float((need * weight).sum() / best[-1]))
+        own, picks = lengths[live].tolist(), pick.tolist()
+        value = weight + best[capacity - lengths[live]]  # of the best configuration with each length
+        good = np.flatnonzero(value >= NEAR * best[-1])
+        if not len(good):
+            good = np.array([int(value.argmax())])
+        chosen = [filled(own, picks, int(j), capacity) for j in good]
+        want = [left[live[j]] / c[j] for j, c in zip(good.tolist(), chosen)]
+        use = np.zeros(len(live))
+        for x, c in zip(want, chosen):
+            for j, k in c.items():
+                use[j] += x * k
+        room = np.minimum(1.0, left[live] / np.maximum(use, 1e-12))
+        for x, c in zip(want, chosen):
+            t = x * min(room[j] for j in c)
+            key = tuple(sorted(((ls[live[j]], k) for j, k in c.items()), reverse=True))
+            out[key] = out.get(key, 0.0) + t
+            for j, k in c.items():
+                left[live[j]] -= t * k
+        left = np.maximum(left, 0.0)
+    return out, bound
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Best-fit decreasing over a histogram, whole groups of like sequences at a time."""
     open_: dict[int, dict[tuple, int]] = {}
@@ -179,7 +216,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[in
 
 
 def configure(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations ((length, copies), ...) with the number of sequences that use each."""
+    """Configurations ((length, copies), ...) with the number of sequences that use each.
+
+    The fractional solution's configurations are rounded down; configurations that hold the same longest
+    piece pass what rounding cuts off on to the next of them, as far as the demand still allows."""
     out: list = []
     if counts.get(capacity):
         out.append((((capacity, 1),), counts[capacity]))
@@ -187,19 +227,18 @@ def configure(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
     if not len(lengths):
         return out
     need = np.array([counts[int(l)] for l in lengths], np.int64)
-    left = need.copy()
-    for _ in range(rounds):
-        live = np.flatnonzero(left)
-        if not len(live):
-            break
-        behind = left[live] / need[live]
-        weight = lengths[live] * (1 + PREMIUM * lengths[live] / capacity) * np.exp(SHARPNESS * (behind - behind.mean()))
-        copies = price(lengths[live], weight, left[live], capacity)
-        used = np.flatnonzero(copies)
-        times = max(1, int(STEP * int((left[live][used] // copies[used]).min())))
-        left[live[used]] -= times * copies[used]
-        out.append((tuple((int(lengths[live[j]]), int(copies[j])) for j in reversed(used)), times))
-    return out + best_fit({int(l): int(n) for l, n in zip(lengths, left) if n}, capacity)
+    solution, _ = program(lengths, need, capacity, rounds)
+    left = {int(l): int(n) for l, n in zip(lengths, need)}
+    carry: dict[int, float] = {}
+    for pattern, x in sorted(solution.items(), reverse=True):
+        x += carry.get(pattern[0][0], 0.0)
+        times = min(int(x + 1e-9), *(left[l] // k for l, k in pattern))
+        carry[pattern[0][0]] = x - times
+        if times:
+            for l, k in pattern:
+                left[l] -= times * k
+            out.append((pattern, times))
+    return out + best_fit({l: n for l, n in left.items() if n}, capacity)
 
 
 def slots(configs: list) -> dict[str, np.ndarray]:

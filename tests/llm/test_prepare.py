@@ -68,15 +68,34 @@ def test_configurations():
         assert used == counts
         least = max(sum(l * n for l, n in counts.items()) / 1024, sum(n for l, n in counts.items() if l > 512))  # no two of these share
         assert sum(t for _, t in conf) <= 1.005 * least + 1
+        lengths = np.array(sorted(l for l in counts if l < 1024))
+        need = np.array([counts[int(l)] for l in lengths])
+        solution, bound = packing.program(lengths, need, 1024)
+        covered = Counter()
+        for pattern, x in solution.items():
+            assert sum(l * c for l, c in pattern) <= 1024
+            for l, c in pattern:
+                covered[l] += c * x
+        assert all(covered[int(l)] <= n + 1e-6 for l, n in zip(lengths, need))
+        short = sum(l * (n - covered[int(l)]) for l, n in zip(lengths, need)) / 1024
+        assert sum(solution.values()) + short <= 1.02 * bound and sum(t for _, t in conf) <= 1.01 * (bound + counts.get(1024, 0)) + 1
     assert packing.configure({}) == []
 
 
 def test_fast_ids_are_the_exact_ids():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary_paths()[0])
+    fast = packing.encoder(*packing.vocabulary_paths())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endof", "é<|endoftext|>Привет"]
+    for frame_ in ("{0}", "a{0}b", " {0} x", "1{0}{0}2", "\n{0}'s", "é{0}. {0}"):
+        texts += [frame_.format(chr(c)) for c in range(1, ord(packing.FIRST_SLOW) + 80)]
     rng = random.Random(5)
-    pool = "abc XYZ 019 .,!?'s\n\t\r éßñçøÅ ŁőğĦ αβγδ 日本 한 مرحبا  😀 <|endoftext|>    ''re"
-    texts = ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(1500)]
-    exact, fast = packing.encoder(packing.vocabulary_paths()[0], None), packing.encoder(*packing.vocabulary_paths())
-    assert all(list(exact(t)) == list(fast(t)) for t in texts)
+    pool = "abc XYZ 019 .,!?'s\n\t\r\x85\xa0\u0301\u0308 éßñçøÅ ŁőğĦ αβγδ Привет жук 日本 한 مرحبا  😀 <|>    ''re"
+    texts += ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(1500)]
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    assert all(list(w.ids) == list(fast(t)) for t, w in zip(texts, want))
+    assert list(fast(texts[0])) == [64, 220, 50256, 275]
 
 
 def test_mix(spark):
@@ -243,20 +262,61 @@ def test_toxicity(spark):
     assert auc(got) > 0.97
 
 
-def test_toxicity_keeps_every_pair():
-    """A frequent ordinary pair whose hash begins like a toxic pair's takes nothing from it."""
-    text = np.frombuffer(b"aa bb", np.uint8)
-    w, s, left, pair, *_ = toxicity.tokens(text, np.array([0, len(text)]))
-    toxic = pair[1:]
-
-    def ratio(other):
-        col = lambda x: np.asarray(x)[1:]
-        one = {"left": col(left), "word": col(w), "stem": col(s)}
-        counts = {0: {"pair": other.view(np.int64), "left": one["left"] ^ 1, "word": one["word"] ^ 1, "stem": one["stem"] ^ 1, "n": np.array([9])}, 1: one | {"pair": toxic.view(np.int64), "n": np.array([4])}}
-        corpus = {"word": np.ones(1 << toxicity.WORD_BITS), "stem": np.ones(1 << toxicity.STEM_BITS)}
-        return toxicity.ratios(toxicity.build(counts, corpus), text, np.array([0, len(text)]))[0][1]
-
-    assert ratio(toxic ^ np.uint64(1)) == ratio(~toxic) > 2
+def test_kneser_ney_by_hand():
+    """Every probability of a small corpus from plain dictionaries of words, against the tables."""
+    texts = {0: ["the cat sat on the mat", "the dog sat on the log the cat ran", "a cat ran to the log"], 1: ["you scum sat on the mat", "you scumbag ran", "the scum ran you scum"]}
+    corpus = [t for v in texts.values() for t in v] + ["scummy cats ran to the dog", "a log"]
+    scales = {"pair": 1.0, "word": 2.0, "stem": 1.0}
+    grams = {y: set() for y in texts}
+    for y, v in texts.items():
+        for t in v:
+            w = ["<s>", "<s>", *t.split()]
+            grams[y] |= {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    hashes = {}
+    for t in corpus:
+        w, s_, left, pair, *_ = toxicity.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        for x, a, b in zip(t.split(), w, s_):
+            hashes[x], hashes[x[:4], "stem"] = a, b
+    hashes["<s>"] = toxicity.START
+    rows = [(y, v, w) for y in grams for _, v, w in grams[y]]
+    n = Counter(rows)
+    t = {"y": np.array([y for y, _, _ in n]), "n": np.array(list(n.values()))}
+    t |= {"left": np.array([hashes[v] for _, v, _ in n]), "word": np.array([hashes[w] for _, _, w in n]), "stem": np.array([hashes[w[:4], "stem"] for _, _, w in n])}
+    with np.errstate(over="ignore"):
+        t["pair"] = toxicity.tn.mix(t["word"] * np.uint64(3) + toxicity.tn.mix(t["left"]))
+    words_, stems_ = Counter(x for c in corpus for x in c.split()), Counter(x[:4] for c in corpus for x in c.split())
+    by_hash = {int(hashes[w]): k for w, k in words_.items()}, {int(hashes[s, "stem"]): k for s, k in stems_.items()}
+    counts = toxicity.Counts(t, lambda w, s: tuple(np.append([by[int(h)] if int(h) in by else 0 for h in a], 0.0) for by, a in zip(by_hash, (w, s))))
+    model = toxicity.slim(toxicity.build(counts, scales))
+
+    def off(k, all_, scale):
+        c = [max(1, sum(x == i for x in all_)) for i in (1, 2, 3, 4)]
+        yv = c[0] / (c[0] + 2 * c[1])
+        d = [1 - 2 * yv * c[1] / c[0], 2 - 3 * yv * c[2] / c[1], 3 - 4 * yv * c[3] / c[2]]
+        d = [min(max(x, 0.05), top) for x, top in zip(d, (1, 2, 3))]
+        return min(k, scale * d[min(k, 3) - 1]) if k else 0
+
+    def p(y, v, w):
+        pairs = {(a, b): k for (c, a, b), k in n.items() if c == y}
+        uni, stem = Counter(b for _, b in pairs), Counter(b[:4] for _, b in pairs)
+        vocab = len({b[:4] for _, _, b in n}) + 1
+        spread = (stems_[w[:4]] + 0.5) / (sum(stems_.values()) - sum(k for s, k in stems_.items() if s not in {b[:4] for _, _, b in n}) + 0.5 * vocab)
+        lam = lambda c, scale: sum(off(k, list(c.values()), scale) for k in c.values()) / sum(c.values())
+        ps = (stem[w[:4]] - off(stem[w[:4]], list(stem.values()), scales["stem"])) / sum(stem.values()) + lam(stem, scales["stem"]) * spread
+        pw = (uni[w] - off(uni[w], list(uni.values()), scales["word"])) / sum(uni.values()) + lam(uni, scales["word"]) * ps * min(1, (words_[w] + 0.5) / (stems_[w[:4]] + 1))
+        after = {b: k for (a, b), k in pairs.items() if a == v}
+        if not after:
+            return pw
+        total, k = sum(after.values()), after.get(w, 0)
+        return (k - off(k, list(pairs.values()), scales["pair"])) / total + sum(off(x, list(pairs.values()), scales["pair"]) for x in after.values()) / total * pw
+
+    for text in ("the scum sat on you", "a cat ran to the mat", "you cat"):
+        r, _ = toxicity.ratios(model, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        w = ["<s>", *text.split()]
+        want = [math.log(p(1, a, b)) - math.log(p(0, a, b)) for a, b in zip(w, w[1:])]
+        assert np.allclose(r, want)
+        best = max(np.convolve(want, [1 / 3] * 3, "valid")) if len(want) > 2 else sum(want) / 3
+        assert abs(toxicity.summarise(r, np.array([0, len(r)]))[0] - best) < 1e-9
 
 
 SUFFIX = ["", "s", "er", "ab", "ix", "um", "on", "at", "el"]
@@ -264,7 +324,7 @@ SUFFIX = ["", "s", "er", "ab", "ix", "um", "on", "at", "el"]
 
 @pytest.mark.parametrize("mod", [quality_fm, toxicity])
 def test_scores_without_labels(spark, mod):
-    d = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "a b c", "z"), (None, "q " * 5000, None)], "doc_id long, text string, score_ string")
+    d = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "a b c", "z"), (None, "q " * 5000, None)], "doc_id long, text string, score string")
     lab = spark.createDataFrame([(None, None), (1, None)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
     label = "quality" if mod is quality_fm else "toxic"
     model = mod.train(d, lab, F.lit(True), label)
