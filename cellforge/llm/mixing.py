@@ -92,8 +92,11 @@ def plan(docs: DataFrame, size: Column, weights=WEIGHTS, ramps=RAMPS, max_epochs
 
 
 def curriculum(planned: DataFrame) -> DataFrame:
-    """A row for each copy the mix takes, with its epoch and training position, range-sorted by position."""
-    c = planned.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    """A row for each copy the mix takes, with its epoch and training position, range-sorted by position.
+
+    A column called epoch gives way to the operator's.
+    """
+    c = planned.drop("epoch").where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     u = F.least(F.lit(1.0), (F.col("epoch") * F.col("source_size") + F.col("offset") + F.col("size") / 2) / F.col("target"))
     c = c.withColumn("position", _position(u, F.col("ramp")))
     parts = common.shuffle_parts(planned.sparkSession)
@@ -103,7 +106,9 @@ def curriculum(planned: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(common.text_or_empty()).alias("_words"))
     p = plan(common.keep(docs, "words"), F.col("_words"))  # the texts are read once
-    return p.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
+    out = p.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.round("position", 9).alias("position"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]  # documents that the mix leaves out have no position and come last
+    return out.repartitionByRange(common.shuffle_parts(spark), *order).sortWithinPartitions(*order)
 
 
 ORACLE = r"""

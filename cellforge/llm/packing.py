@@ -256,18 +256,22 @@ def slots(configs: list) -> dict[str, np.ndarray]:
     return {"key": (a[:, 0] << 48) + a[:, 1], "first": a[:, 1], "base": a[:, 2], "times": a[:, 3], "at": a[:, 4]}
 
 
-def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS, in_order: bool = False) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a stored table of pieces (it is read more than once).
 
     The rank of a piece among those of its length is split by a hash of its id, so that the full
     pieces, the most frequent length by far, are numbered by many tasks. An empty table packs into
-    nothing; repeated rows are pieces of their own.
+    nothing; repeated rows are pieces of their own. With ``in_order`` ids are places from 0 on, and
+    ranks follow them: ranges of places take the part of the hash.
     """
     spark = cut.sparkSession
     hist = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     place = spark.sparkContext.broadcast(slots(configure(hist, capacity, rounds)))
     buckets = min(4096, max(1, sum(hist.values()) // 20_000))
-    d = cut.withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
+    bucket = F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets))
+    if in_order:
+        bucket = F.floor(F.col(id_col) * buckets / ((cut.agg(F.max(id_col)).first()[0] or 0) + 1))
+    d = cut.withColumn("_b", bucket)
     before = d.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     run = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
@@ -295,5 +299,42 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return pack(common.keep(pieces(docs), "pieces"))
 
 
+def stored_order(docs: DataFrame) -> DataFrame:
+    """Adds ``position``: rows of a stored table in the order of its files and of the rows in them, from 0 on.
+
+    Spark names the files of a range-sorted table in its order. Places are counted a file at a time,
+    so only one row a file meets in one task.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        d = docs.withColumns({"_f": F.col("_metadata.file_path"), "_r": F.col("_metadata.row_index")})
+        d.schema
+    except AnalysisException:  # not a stored table: the order of its partitions
+        n = F.monotonically_increasing_id()
+        d = docs.withColumns({"_f": F.shiftright(n, 33).cast("string"), "_r": n.bitwiseAND(F.lit((1 << 33) - 1))})
+    files = d.groupBy("_f").agg(F.count("*").alias("_n"))  # one row a file
+    before = Window.orderBy(F.length("_f"), "_f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return common.small_join(d, files, "_f", "inner").withColumn("position", F.col("_before") + F.col("_r")).drop("_f", "_r", "_before")
+
+
+def pack_in_order(docs: DataFrame) -> DataFrame:
+    """:func:`pack_documents` along a stored order: adds ``position``, a document's place in it.
+
+    Of equal length earlier pieces take earlier sequences; sequences are then numbered by their first
+    position. Rows that repeat a document are copies of their own.
+    """
+    placed = stored_order(docs.drop("position"))
+    cut = common.keep(pieces(placed, id_col="position").join(placed.select("position", "doc_id"), "position"), "pieces")
+    packed = common.keep(pack(cut, id_col="position", in_order=True), "packed")
+    first = packed.groupBy("sequence_id").agg(F.min("position").alias("_first"))
+    parts = common.shuffle_parts(docs.sparkSession)
+    ordered = common.keep(first.repartitionByRange(parts, "_first", "sequence_id").sortWithinPartitions("_first", "sequence_id"), "sequences")
+    numbered = stored_order(ordered).select("sequence_id", F.col("position").alias("_number"))
+    out = packed.join(numbered, "sequence_id")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_number").alias("sequence_id"), "offset", "position")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -21,8 +21,6 @@ RANK = 8
 EPOCHS = 6
 #: Labelled rows of each class that training draws at most (on average; drawn by a hash of the id).
 SAMPLE = 3000
-#: Words of a text that one training step uses at most, drawn at random; scoring uses all.
-STEP_WORDS = 256
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 _DENSE = len(features.STRUCTURE)
@@ -56,19 +54,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
 
 
 def train(docs: DataFrame, labels: DataFrame, condition, label: str = "quality", seed: int = 5) -> dict:
-    """The model, fit on the driver to a bounded sample; features are taken on the executors."""
+    """The model, fit on the driver to a bounded sample of rows; features of their whole texts (at most
+    2^BITS word buckets a text) are taken on the executors. Repeated documents train as often as they occur."""
     drawn, sizes = sample(docs.select("doc_id", "text"), labels, label, condition, SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
         for batch in batches:
             data, offs = tn.buffer(batch.column(0))
             got = list(_rows(data, offs))
-            words = [rng.permutation(w)[: 4 * STEP_WORDS] for w, _ in got]
+            words = [w for w, _ in got]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.list_(pa.int32())), pa.array([d for _, d in got], pa.list_(pa.float64())), batch.column(2)], names=["y", "words", "dense", "id"])
 
     rows = drawn.select("text", "_y", F.col("doc_id")).mapInArrow(run, "y int, words array<int>, dense array<double>, id long").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], r["dense"]))
+    rows.sort(key=lambda r: (r["id"], r["y"], r["dense"], r["words"]))  # whatever the partitions, the same model
     return fit([(r["y"], np.asarray(r["words"], np.int64), np.asarray(r["dense"])) for r in rows], sizes, seed)
 
 
@@ -92,8 +90,6 @@ def fit(rows: list, sizes: dict[int, int], seed: int = 5) -> dict:
     for _ in range(EPOCHS):
         for r in rng.permutation(len(rows)):
             words = rows[r][1]
-            if len(words) > STEP_WORDS:
-                words = rng.choice(words, STEP_WORDS, replace=False)
             if rng.random() < 0.5:  # half of the steps see structure only, so that it must do alone
                 words = words[:0]
             ids = np.concatenate([words, dense_ids])
@@ -133,14 +129,17 @@ def margins(model: dict, words: list[np.ndarray], dense: np.ndarray) -> np.ndarr
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The documents with ``score`` in [0, 1]. Whole texts; a null text is an empty one.
+    """The documents, without the text, with ``score`` in [0, 1]. Whole texts; a null text is an empty one.
 
-    Without labels of both classes the score is the (smoothed) share of label 1.
+    Without labels of both classes the score is the (smoothed) share of label 1. Extra columns pass
+    through, unless one is called score. Equal texts have equal scores.
     """
-    docs = docs.drop("score")
+    named = (text_col,)
+    out = common.unstash(docs, ["score", text_col], named)
+    docs, _ = common.stash(docs, named)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size: 2^BITS * (RANK + 1) floats
-    at = docs.columns.index(text_col)
+    at = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -155,8 +154,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             keep = [n for n in range(batch.num_columns) if n != at]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(p)], names=[batch.schema.names[n] for n in keep] + ["score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields[1:])
+    return docs.mapInArrow(run, f"{schema}score double").select(*out, "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

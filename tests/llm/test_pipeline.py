@@ -2,9 +2,9 @@
 
 import random
 from collections import Counter
-from functools import partial
 
 import corpus_pipeline as cp
+from cellforge.llm import common, mixing
 from tests.llm import brute
 from tests.llm.corpus import words
 from tests.llm.test_prepare import check_packing, exact_ids
@@ -33,7 +33,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1) for i in range(160)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
 
     alive = {i: (t, s) for i, t, _, s, _ in rows if not brute.base_failed(brute.measures(t))}
-    comp = {i: c for i, _, c in brute.join_components([(i, t) for i, (t, _) in alive.items()])}
+    comp = {i: c for i, _, c in brute.join_components([(i, t) for i, (t, _) in alive.items()], 80, 5)}
     alive = {i: v for i, v in alive.items() if comp[i] == i}
     texts = plain_cut({i: t for i, (t, _) in alive.items()})
     copies = brute.mix([(i, s, brute.measures(texts[i])[0]) for i, (_, s) in alive.items()])
@@ -42,13 +42,31 @@ def test_pipeline(spark, tmp_path):
         for _ in range(int(n)):
             want.update((i, *p) for p in brute.pieces(exact_ids(texts[i])))
 
-    check_packing(cp.run(spark, str(tmp_path)).collect(), want)
+    rows_ = cp.run(spark, str(tmp_path)).collect()
+    check_packing(rows_, want)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.dtypes == docs.dtypes, name
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
+    # the curriculum reaches the sequences: copies stand at their training positions, sequences follow them
+    order = mixing.curriculum(mixing.plan(spark.read.parquet(f"{tmp_path}/substring dedup"), common.n_words(common.text_or_empty()))).orderBy("position", "doc_id").collect()
+    at = {r["position"]: r["doc_id"] for r in rows_}
+    assert sorted(at) == list(range(len(order)))
+    place = {}
+    for n, r in enumerate(order):
+        place.setdefault(r.doc_id, []).append(r.position)
+    seen = Counter()
+    got = []
+    for p in sorted(at):
+        got.append(place[at[p]][seen[at[p]]])
+        seen[at[p]] += 1
+    assert got == sorted(got)
+    firsts = {}
+    for r in rows_:
+        firsts[r["sequence_id"]] = min(firsts.get(r["sequence_id"], 1 << 60), r["position"])
+    assert [firsts[k] for k in sorted(firsts)] == sorted(firsts.values()) and sorted(firsts) == list(range(len(firsts)))
 
 
 def plain_cut(texts, window=20):
@@ -74,8 +92,3 @@ def test_near_duplicates_of_five_words_at_80_percent(spark):
         far[i] = "other"
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.ngram_join(spark, docs, "").collect()) == [1, 3]
-
-
-def test_pipeline_with_five_word_reference(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(brute, "join_components", partial(brute.join_components, percent=80, n=5))
-    test_pipeline(spark, tmp_path)
