@@ -44,15 +44,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, range-sorted by training position; documents it leaves out go."""
+    """A row for each copy that the mix takes; documents it leaves out go.
+
+    The columns are the documents' own, so the order of the rows is what carries epoch and position:
+    they are range-sorted by training position, and packing goes by their place in the stored table.
+    """
     planned = mixing.plan(docs, common.n_words(common.text_or_empty()))
     return mixing.curriculum(planned).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
+    """Token pieces with their sequences and offsets, in training order: each copy's ``position`` in it
+    (unique, so copies of a document are told apart), and sequences numbered by their first position."""
     _ready(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_in_order(docs)
 
 
 STAGES = [
