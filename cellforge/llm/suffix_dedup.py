@@ -186,15 +186,13 @@ def _compare(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, window:
 class Reference:
     """A suffix array over some runs (key, lo, bytes, anchor), for searching whole runs."""
 
-    def __init__(self, runs: list[tuple[int, int, bytes, int]], window: int) -> None:
+    def __init__(self, runs: list[tuple[int, int, bytes, int]]) -> None:
         self.data = b"\0".join(r[2] for r in runs) + b"\0"
-        self.ends, self.runs, self.window = np.cumsum([len(r[2]) + 1 for r in runs]), runs, window
-        symbols = np.frombuffer(self.data, np.uint8)
-        self.sa = suffix_array(symbols.astype(np.int64))
-        self.lcp = kasai(symbols, np.arange(len(symbols), 0, -1), self.sa, window)
+        self.ends, self.runs = np.cumsum([len(r[2]) + 1 for r in runs]), runs
+        self.sa = suffix_array(np.frombuffer(self.data, np.uint8).astype(np.int64))
 
     def elsewhere(self, key: int, lo: int, run: bytes) -> bool:
-        """Whether ``run``, of a window at least, stands in a place other than (key, lo)."""
+        """Whether ``run`` stands in a place other than (key, lo)."""
         sa, data = self.sa, self.data
         a, z = 0, len(sa)
         while a < z:
@@ -204,7 +202,7 @@ class Reference:
                 a = mid + 1
             else:
                 z = mid
-        while a < len(sa):
+        while a < len(sa):  # suffixes that begin with the run stand together
             at = int(sa[a])
             if data[at : at + len(run)] != run:
                 return False
@@ -214,8 +212,6 @@ class Reference:
             if start + len(run) <= len(body) and (own, first + start) != (key, lo):
                 return True
             a += 1
-            if a < len(sa) and self.lcp[a] < self.window:  # the next does not even begin with the same window
-                return False
         return False
 
 
@@ -227,7 +223,7 @@ def index(references: list, streamed: list, contested: bool, window: int = WINDO
         for (key, lo, _, _), o in zip(references, offs):
             found += [(key, lo + s, lo + e) for s, e in repeats.joined(o, window)]
         return found, refused
-    ref = Reference(references, window)
+    ref = Reference(references)
     for run in streamed:
         key, lo, body, _ = run
         if ref.elsewhere(key, lo, body):
