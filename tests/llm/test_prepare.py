@@ -175,13 +175,17 @@ def test_warc(spark, tmp_path):
     archive, index = f"file://{tmp_path}/warc", f"file://{tmp_path}/index"
     warc.write(pages, archive)
     ix = warc.CaptureIndex.build(spark, archive, index, block_lines=2)
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in ix.read().collect())
+    shown = lambda d: Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in d.collect())
+    got = shown(ix.read())
     want = Counter()
     for i, _, html in rows:
         raw = (html or "").encode()
         rev = html == big and i != 1
         want[(i, len(raw), brute.sha(raw), "revisit" if rev else "response", 1 if rev else None)] += 1
     assert got == want
+    assert ix.range_reads() and shown(ix.lookup(pages.unionAll(pages))) == want
+    some = pages.where("page_id in (5, 6)").select(F.col("url").alias("u")).unionAll(spark.sql("SELECT 'http://nowhere.org/'"))
+    assert {r.page_id for r in ix.lookup(some, "u").collect()} == {5, 6}
     hits = ix.captures("http://a.example.org/x?q=1")
     assert sorted(h[1] for h in hits) == ["<urn:page:3>", "<urn:page:4>"]
     head, payload = ix.fetch([h for h in hits if h[1] == "<urn:page:4>"][0])
@@ -190,11 +194,28 @@ def test_warc(spark, tmp_path):
     assert warc.reversed_host_key("http://u@www.Ex.org:80/a#f") == "org,ex,www)/a"
 
 
+def test_warc_unequal_sizes(spark, tmp_path, monkeypatch):
+    """Files are cut by bytes wherever the large pages lie, and every record is found in them."""
+    sizes = [50] * 300 + [9_000] * 40 + [70_000, 200_000, 0, 70_000] + [50] * 300
+    rows = [(i, "http://one.org/" + "p" * 90 + str(i % 7), chr(97 + i % 26) * (n - len(str(i))) + str(i) if n else None) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write(pages, f"file://{tmp_path}/w", file_bytes=50_000)
+    files = [f.stat().st_size for f in tmp_path.glob("w/*/part-*")]
+    assert len(files) >= 8 and sorted(files)[-2] < 50_000 + 71_000 and max(files) < 50_000 + 201_000
+    ix = warc.CaptureIndex.build(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/i", block_lines=40)
+    assert len(ix.directory) > 10
+    want = Counter((i, (h or "").encode()) for i, _, h in rows)
+    for cut in (warc.DIRECTORY_BYTES, 1):  # with short keys in the directory more blocks are read, and the records are the same
+        monkeypatch.setattr(warc, "DIRECTORY_BYTES", cut)
+        monkeypatch.setattr(warc, "SPAN_BYTES", 20_000)
+        assert Counter((r.page_id, bytes(r.payload)) for r in ix.lookup(pages).collect()) == want
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, f"file://{tmp_path}/w")
     ix = warc.CaptureIndex.build(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/i")
-    assert ix.read().count() == 0 and ix.captures("http://a.b/") == []
+    assert ix.read().count() == 0 and ix.lookup(pages).count() == 0 and ix.captures("http://a.b/") == []
 
 
 def test_fingerprints(spark):
