@@ -73,7 +73,7 @@ def layout(lo: int, hi: int, percent: int = PERCENT) -> tuple[int, int]:
 
 def passes(percent: int = PERCENT) -> int:
     """Into how many parts the signatures are dealt, one after the other: a set has about twice as many at 80 as at 90 percent."""
-    return -(-distance(100, percent) // 10)
+    return -(-distance(100, percent) // 15)
 
 
 _BANDS: dict[int, np.ndarray] = {}
