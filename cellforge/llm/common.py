@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def discard(*kept: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished work: Spark deletes them when the driver's JVM has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_join(big: DataFrame, small: DataFrame, on, how: str = "left", limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcasts ``small`` if it has at most ``limit`` rows (counted), else a shuffle join that AQE can split."""
     return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)

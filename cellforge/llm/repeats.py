@@ -78,7 +78,7 @@ class Units:
 Index = Callable[[list, list, bool], tuple[list, list]]
 
 
-def _filter(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def bitmap(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """(64-bit words, bits): a set bit for the leading bits of every repeated hash."""
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, n))), 16, MAX_FILTER_BITS))
     place = F.shiftrightunsigned("h", 64 - bits)
@@ -89,7 +89,7 @@ def _filter(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return words, bits
 
 
-def _hits(words: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+def hits(words: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - bits)
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
@@ -122,7 +122,7 @@ def occurrences(docs: DataFrame, units: Units, salt: int, shared, bits: int) ->
                 b = data[offs[i] : offs[j]]
                 values, rows, _, _ = units.read(b, offs[i : j + 1] - offs[i], salt)
                 row, lo, hi, h = units.anchors(b, values, rows)
-                at = np.flatnonzero(_hits(words, bits, h))
+                at = np.flatnonzero(hits(words, bits, h))
                 row, lo, hi, h = row[at], lo[at], hi[at], h[at]
                 raw, wide = (b.tobytes(), 1) if values is None else (values.tobytes(), 8)
                 ctx = [tn.digest(raw[x * wide : y * wide], salt) for x, y in zip(lo.tolist(), (hi + units.window).tolist())]
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, units: Units, index: Index, keep_first: bool
 def _attempt(docs: DataFrame, units: Units, index: Index, keep_first: bool, hot: int, shard: int, salt: int) -> DataFrame | None:
     spark, w = docs.sparkSession, units.window
     repeated = common.keep(repeated_hashes(docs, units, salt), "repeated")
-    words, bits = _filter(repeated, repeated.count())
+    words, bits = bitmap(repeated, repeated.count())
     common.discard(repeated)
     shared = spark.sparkContext.broadcast(words)
     occ = common.keep(occurrences(docs, units, salt, shared, bits), "anchors")
