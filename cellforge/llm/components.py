@@ -16,7 +16,7 @@ from . import textnum as tn
 from .shingles import Shingles
 
 #: Sets that one task compares with each other, or with as many others.
-BLOCK = 512
+BLOCK = 1024
 
 
 def connected(edges: DataFrame, name: str = "star") -> DataFrame:
