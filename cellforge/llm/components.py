@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, repeats
@@ -166,6 +166,50 @@ def _among(sig: DataFrame, shared: DataFrame) -> DataFrame:
     return sig.select("sig", "sid").mapInArrow(run, "sig long, sid long")
 
 
+def _elements(texts: DataFrame, kind: Shingles) -> DataFrame:
+    """(sid, n, e): a row for each element of each set of ``texts`` (sid, n, z)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = [unzip.decompress(z) for z in batch.column(2).to_pylist()]
+            offs = np.append(0, np.cumsum([len(r) for r in raw]))
+            data, (sid, n) = np.frombuffer(b"".join(raw), np.uint8), (batch.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+            for i, j in tn.chunks(offs):
+                sets = kind.sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                sizes = [len(s) for s in sets]
+                cols = [np.repeat(sid[i:j], sizes), np.repeat(n[i:j], sizes), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sid", "n", "e"])
+
+    return texts.select("sid", "n", "z").mapInArrow(run, "sid long, n long, e long")
+
+
+def _refine(texts: DataFrame, kind: Shingles, percent: int) -> DataFrame:
+    """(sid, cluster): finer clusters of the sets in ``texts`` (sid, n, z) that still hold every link.
+
+    Signatures chain sets that are alike in places into clusters far larger than any group that links.
+    A set whose elements that another set has too are fewer than ``percent`` of its own links with
+    nothing and drops out. Of those left, two that link share one of their n - ceil(n * percent / 100) + 1
+    rarest elements, in one order of all elements; sets that share such an element are a cluster. A hash
+    that two elements have in common only makes an element look less rare.
+    """
+    once = _elements(texts, kind).groupBy("e").agg(F.count("*").alias("df"), F.min("sid").alias("sid"), F.min("n").alias("n")).where("df = 1")
+    lone = once.groupBy("sid").agg(F.count("*").alias("u"), F.min("n").alias("n")).where((F.col("n") - F.col("u")) * 100 < F.col("n") * percent).select("sid")
+    some = common.keep(_elements(texts.join(lone, "sid", "left_anti"), kind), "elements")
+    df = common.keep(some.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
+    shared = common.hot_join(some, df, ["e"], "df", max(1, some.count()))
+    by_set = Window.partitionBy("sid")
+    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1 - (F.col("n") - F.count("*").over(by_set))  # without those it has alone, the rarest
+    rare = shared.withColumn("_p", prefix).withColumn("_r", F.row_number().over(by_set.orderBy("df", "e"))).where("_r <= _p")
+    rare = common.keep(rare.select("sid", "e"), "rare")
+    common.discard(some, df)
+    least = rare.groupBy("e").agg(F.min("sid").alias("m"), F.count("*").alias("w")).where("w > 1")
+    stars = common.hot_join(rare, least, ["e"], "w", max(1, rare.count())).where("sid <> m").select(F.col("sid").alias("a"), F.col("m").alias("b"))
+    return connected(stars, "refined").withColumnRenamed("node", "sid").withColumnRenamed("comp", "cluster")
+
+
 def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[DataFrame], kind: Shingles, percent: int, block: int = BLOCK) -> DataFrame:
     """(sid, comp) of every set that is linked to another: 100 * |A and B| >= percent * |A or B|.
 
@@ -175,8 +219,8 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[Data
 
     Signatures of one set only drop out by a pre-aggregated minimum and maximum. What is left joins
     each set to its signature's least, and the components of these stars are clusters: sets that
-    link are in one cluster. A cluster of at most ``block`` sets is compared by one task. A larger
-    one is sorted by size and cut into blocks: first every block with itself and the cluster's first
+    link are in one cluster. A cluster of at most ``block`` sets is compared by one task. Larger ones
+    are made finer (see :func:`_refine`); what is still larger is sorted by size and cut into blocks: first every block with itself and the cluster's first
     sets, then, of what these links have not joined to the cluster's main component, every block with all blocks
     whose sizes allow the similarity. Tasks return spanning links, never pairs.
     """
@@ -199,6 +243,14 @@ def similar(docs: DataFrame, nodes: DataFrame, signatures: DataFrame | list[Data
     texts = common.keep(_texts(docs, member.select("sid", "n", "key")), "texts")
     member = common.keep(member.select("sid", "n", "cluster"), "member")
     sizes = member.groupBy("cluster").agg(F.count("*").alias("size"))
+    chained = common.keep(sizes.where(F.col("size") > block), "chained")
+    if chained.limit(1).count():
+        chain = common.hot_join(member, chained, ["cluster"], "size", member.count()).select("sid")
+        finer = _refine(texts.join(chain, "sid"), kind, percent)
+        whole = member.join(sizes.where(F.col("size") <= block).select("cluster"), "cluster").select("sid", "n", "cluster")
+        member = common.keep(whole.unionByName(finer.join(nodes.select("sid", "n"), "sid").select("sid", "n", "cluster")), "members")
+        sizes = member.groupBy("cluster").agg(F.count("*").alias("size"))
+        common.sweep(docs.sparkSession)
     compare = _compare(kind, percent)
     rows, parts = member.count(), common.shuffle_parts(docs.sparkSession)
 
