@@ -283,6 +283,56 @@ def test_toxicity(spark):
     assert auc(got) > 0.97
 
 
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+    """More labelled texts than any sample: all of four fifths are counted, in many groups, and all of the last one calibrates."""
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 30_000)
+    rng = random.Random(5)
+    common_words = words(rng, 40)
+    rows = [(i, f"own{i} " + " ".join(rng.choices(common_words, k=5))) for i in range(9000)] + [(9000, None), (9001, "")]
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = {}
+
+    def fit(counts, held, prior, scales):
+        seen.update(counts=counts, held=held.count(), scales=scales)
+        return {}
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    assert toxicity.train(frame(spark, rows), lab, common.crc_fold(4) != 2)["ok"]
+    part = {r.doc_id: r.p for r in lab.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)).alias("p")).collect()}
+    grams = {0: set(), 1: set()}
+    for i, t in rows:
+        if brute.fold(i, 4) != 2 and part[i] > 0:
+            w = ["<s>", "<s>", *(t or "").split()]
+            grams[i % 2] |= {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    assert seen["held"] == sum(brute.fold(i, 4) != 2 and part[i] == 0 for i, _ in rows) and seen["scales"]["pair"] == list(toxicity.SCALES)
+    for y, d in enumerate(seen["counts"].by):
+        pairs = Counter((v, w) for _, v, w in grams[y])
+        assert Counter(d["n"].astype(int).tolist()) == Counter(k for k in pairs.values() if k > toxicity.taken(np.array([k]), d["d"]["pair"], 1.0)[0])
+        assert d["total"]["pair"] == len(grams[y]) and d["total"]["word"] == len(pairs)
+        assert np.allclose(d["d"]["pair"], toxicity.discounts(np.array(list(pairs.values()))))
+        assert sorted(d["stem_n"][d["stem_n"] > 0]) == sorted(Counter(w[:4] for _, w in pairs).values())
+
+
+def test_toxicity_entries(spark, monkeypatch):
+    """Rows that the discounts take whole can be left out: the ratios stay, whatever scale is chosen."""
+    rng = random.Random(8)
+    some = words(rng, 30)
+    rows = [(i, i % 2, " ".join(rng.choices(some[: 20 + 10 * (i % 2)], k=12) + words(rng, 2))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, _y int, text string")
+    corpus = lambda w, s: toxicity.corpus_counts(texts, w, s)
+    pairs = toxicity.class_counts(texts)
+    full = toxicity.Counts(toxicity._arrays(pairs), corpus)
+    monkeypatch.setattr(toxicity, "ENTRIES", 60)
+    t, whole, scales = toxicity.totals(pairs)
+    few = toxicity.Counts(t, corpus, whole)
+    assert len(few.pairs) <= 60 < len(full.pairs) and len(few.words) < len(full.words) and scales["pair"][0] > 1
+    data = np.frombuffer(" ".join(r[2] for r in rows[:50]).encode(), np.uint8)
+    for k in (0, -1):
+        chosen = {kind: v[k] for kind, v in scales.items()}
+        r = [toxicity.ratios(toxicity.slim(toxicity.build(c, chosen)), data, np.array([0, len(data)]))[0] for c in (full, few)]
+        assert np.allclose(*r)
+
+
 def test_kneser_ney_by_hand():
     """Every probability of a small corpus from plain dictionaries of words, against the tables."""
     texts = {0: ["the cat sat on the mat", "the dog sat on the log the cat ran", "a cat ran to the log"], 1: ["you scum sat on the mat", "you scumbag ran", "the scum ran you scum"]}
