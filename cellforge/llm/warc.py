@@ -247,7 +247,8 @@ class CaptureIndex:
         Keys are made different first, so that a URL asked for by a third of all rows is one key. Each
         is sought in the directory by binary search; a block is range-read once by the task that has its
         keys, bisected, and the records it points to are range-read file by file, neighbours together.
-        Null URLs ask for the records without one. The store must be one that ``pyarrow.fs`` opens.
+        Null URLs ask for the records without one. On a store that ``pyarrow.fs`` does not open, Spark
+        brings the files that blocks and records lie in, and both are cut out of them at the same places.
         """
         blocks = self.directory
         cut = max(64, DIRECTORY_BYTES // (8 * max(1, len(blocks))))  # characters: two keys of up to four bytes each
@@ -283,10 +284,18 @@ class CaptureIndex:
                 for file, offset, length, key in zip(*(c.to_pylist() for c in batch.columns)):
                     if held != (file, offset):
                         held, lines = (file, offset), _rows(read(file, offset, length))
-                    out += [(r[2], r[3], r[4]) for r in lines[bisect.bisect_left(lines, (key,)) : bisect.bisect_left(lines, (key + "\0",))]]
-                cols = list(zip(*out)) if out else [[]] * 3
-                kinds = [pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "offset", "length"])
+                    out += _bisected(lines, key)
+                yield _places(out)
+
+        def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content, at in zip(batch.column(0), batch.column(1).to_pylist()):
+                    data, held, lines, out = content.as_buffer(), None, [], []
+                    for x in at:
+                        if held != x["offset"]:
+                            held, lines = x["offset"], _rows(data.slice(x["offset"], x["length"]).to_pybytes())
+                        out += _bisected(lines, x["key"])
+                    yield _places(out)
 
         def open_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = _reader()
@@ -297,12 +306,16 @@ class CaptureIndex:
                     yield _records([_row(data[o - start : o - start + n]) for o, n in at])
 
         wanted = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(keys, "key string").distinct()
-        blocks = wanted.mapInArrow(find, "file string, offset long, length long, key string").repartition("file", "offset").sortWithinPartitions("file", "offset")
+        blocks = wanted.mapInArrow(find, "file string, offset long, length long, key string")
+        if not self.range_reads():
+            captures = self._with_content(self.path, blocks, "offset", "length", "key").mapInArrow(cut_blocks, "file string, offset long, length long")
+            return self._with_content(self.archive, captures, "offset", "length").mapInArrow(_cut_records, ", ".join(f"{c} {t}" for c, t in _RECORD.items()))
+        blocks = blocks.repartition("file", "offset").sortWithinPartitions("file", "offset")
         captures = blocks.mapInArrow(open_blocks, "file string, offset long, length long").repartition("file").sortWithinPartitions("file", "offset")
         return captures.mapInArrow(open_records, ", ".join(f"{c} {t}" for c, t in _RECORD.items()))
 
     def range_reads(self) -> bool:
-        """Whether ``pyarrow.fs`` opens the store of the archive and the index, as :meth:`lookup` needs."""
+        """Whether ``pyarrow.fs`` opens the store of the archive and the index, so that executors can read ranges."""
         try:
             _store(self.archive), _store(self.path)
         except (OSError, ValueError, NotImplementedError, ImportError):
@@ -330,19 +343,13 @@ class CaptureIndex:
         are cut out at their offsets. The payload of a response must have the digest its header
         states; a revisit has no payload of its own (null).
         """
-        wanted = self.entries().groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
-        archive = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.archive).select(F.col("path").alias("file"), "content")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for content, at in zip(batch.column(0), batch.column(1).to_pylist()):
-                    data = content.as_buffer().to_pybytes()
-                    for x in range(0, len(at), 500):
-                        yield _records([_row(data[s["offset"] : s["offset"] + s["length"]]) for s in at[x : x + 500]])
+        return self._with_content(self.archive, self.entries(), "offset", "length").mapInArrow(_cut_records, ", ".join(f"{c} {t}" for c, t in _RECORD.items()))
 
-        schema = ", ".join(f"{c} {t}" for c, t in _RECORD.items())
-        lists = F.broadcast(wanted) if len(self.directory) <= 64 else wanted  # 64 blocks have a few MB of offsets at most
-        return archive.join(lists, "file").select("content", "at").mapInArrow(run, schema)
+    def _with_content(self, path: str, places: DataFrame, *cols: str) -> DataFrame:
+        """(content, at) of the files of ``path`` that have places (file, cols); a file is of bounded size."""
+        per = places.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("at"))
+        per = F.broadcast(per) if len(self.directory) <= 64 else per  # 64 blocks have a few MB of places at most
+        return _files(self.spark, path).withColumnRenamed("path", "file").join(per, "file").select("content", "at")
 
 
 def _store(uri: str):
@@ -381,6 +388,26 @@ def _spans(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[i
         yield of, held
 
 
+def _bisected(lines: list[tuple], key: str) -> list[tuple[str, int, int]]:
+    """(file, offset, length) of the captures of a key among a block's lines."""
+    return [r[2:5] for r in lines[bisect.bisect_left(lines, (key,)) : bisect.bisect_left(lines, (key + "\0",))]]
+
+
+def _places(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * 3
+    kinds = [pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "offset", "length"])
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records at their places in the files' contents."""
+    for batch in batches:
+        for content, at in zip(batch.column(0), batch.column(1).to_pylist()):
+            data = content.as_buffer()
+            for x in range(0, len(at), 500):
+                yield _records([_row(data.slice(s["offset"], s["length"]).to_pybytes()) for s in at[x : x + 500]])
+
+
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(_RECORD))
@@ -409,6 +436,8 @@ def _row(data: bytes) -> tuple:
         payload = data[data.index(b"\r\n\r\n", start) + 4 : stop]
         if hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"{head['warc-record-id']}: the payload does not have its digest")
+        if len(payload) != int(head["x-payload-length"]):
+            raise ValueError(f"{head['warc-record-id']}: the payload does not have its length")
     ident = lambda v: None if v is None or v == "<urn:page:null>" else int(v[10:-1])
     return ident(head["warc-record-id"]), head.get("warc-target-uri"), int(head["x-payload-length"]), digest, head["warc-type"], ident(head.get("warc-refers-to")), payload
 
@@ -418,9 +447,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, index = common.scratch_path(spark, "warc"), common.scratch_path(spark, "index")
     write(pages, archive)
     ix = CaptureIndex.build(spark, archive, index)
-    # every page's URL is looked up; a store that only Spark's readers open has its files read whole
-    out = ix.lookup(pages) if ix.range_reads() else ix.read()
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return ix.lookup(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = f"""

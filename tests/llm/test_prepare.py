@@ -211,6 +211,26 @@ def test_warc_unequal_sizes(spark, tmp_path, monkeypatch):
         assert Counter((r.page_id, bytes(r.payload)) for r in ix.lookup(pages).collect()) == want
 
 
+def test_warc_lookup_on_any_store(spark, tmp_path, monkeypatch):
+    """Where executors cannot read ranges the query still looks every URL up through both levels of the index."""
+
+    def closed(uri):
+        raise OSError("only Spark opens this store")
+
+    rows = [(i, f"http://h{i % 3}.org/{i % 11}" if i % 13 else None, "p" * 120 + str(i % 20) if i % 4 else "é") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write(pages, f"file://{tmp_path}/w", file_bytes=9_000)
+    ix = warc.CaptureIndex.build(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/i", block_lines=9)
+    shown = lambda d: Counter((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in d.collect())
+    some = pages.where("page_id % 11 = 4")
+    want, few = shown(ix.lookup(pages)), shown(ix.lookup(some))
+    assert sum(want.values()) == 200 and 0 < sum(few.values()) < 200
+    monkeypatch.setattr(warc, "_store", closed)
+    assert not ix.range_reads() and shown(ix.lookup(pages)) == want and shown(ix.lookup(some)) == few
+    monkeypatch.setattr(warc.CaptureIndex, "read", lambda self: pytest.fail("the files were read without a lookup"))
+    same(warc.query(spark, SF), connect(SF), warc.ORACLE_SQL)
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, f"file://{tmp_path}/w")
