@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from functools import partial
 
@@ -35,6 +36,37 @@ def test_suffix_dedup(spark, window, gram, hot):
     assert Counter(map(tuple, got)) == brute.suffix_dedup(docs, window)
 
 
+def test_contested_windows_before_the_arrays(monkeypatch):
+    """Only what may be equal gets into a suffix array, and nothing that is equal stays out."""
+    rng = random.Random(4)
+    window, gram, texts = 24, 5, []
+    passage = bytes(rng.choices(b"abcd", k=90))
+    for _ in range(60):
+        t = bytearray(rng.choices(b"abcd", k=rng.randint(10, 150)))
+        for _ in range(rng.randint(0, 2)):
+            a = rng.randrange(80)
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = passage[a : a + rng.randint(6, 50)]
+        texts.append(bytes(t))
+    data, rows = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    runs = list(zip(*tn.anchors(tn.Prefix(tn.byte_values(data)), rows, window, gram)))
+    seen = Counter(int(r[3]) for r in runs)
+    refs = [(int(k), int(a - rows[k]), data[a : z + window].tobytes(), int(np.uint64(h).view(np.int64))) for k, a, z, h in runs if seen[int(h)] > 1]
+    arrays, exact = [], suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda c, w: arrays.extend(c) or exact(c, w))
+    for classes in (1, 3, 9, 20):
+        monkeypatch.setattr(suffix_dedup.hopeful, "__defaults__", (classes,))
+        arrays.clear()
+        found, refused = suffix_dedup.index(refs, [], True, window, gram)
+        marked = {(k, w) for k, s, e in found for w in range(s, e - window + 1)}
+        where = Counter(body[w : w + window] for _, _, body, _ in refs for w in range(len(body) - window + 1))
+        want = {(k, lo + w) for k, lo, body, _ in refs for w in range(len(body) - window + 1) if where[body[w : w + window]] > 1}
+        assert want and want <= marked and not refused  # joined spans may cover windows between
+        assert {b for k, s, e in found for b in ((k, x) for x in range(s, e))} == {(k, x) for k, w in want for x in range(w, w + window)}
+        if classes > 1:
+            assert sum(map(len, arrays)) < 0.8 * sum(len(r[2]) for r in refs)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for n in (1, 2, 50, 400):
