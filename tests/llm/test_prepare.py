@@ -303,9 +303,11 @@ def test_toxicity(spark):
     assert auc(got) > 0.97
 
 
-def test_toxicity_counts_every_labelled_text(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [toxicity.BROADCAST_LABELS, 0])
+def test_toxicity_counts_every_labelled_text(spark, monkeypatch, broadcast):
     """More labelled texts than any sample: all of four fifths are counted, in many groups, and all of the last one calibrates."""
     monkeypatch.setattr(toxicity, "GROUP_BYTES", 30_000)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", broadcast)
     rng = random.Random(5)
     common_words = words(rng, 40)
     rows = [(i, f"own{i} " + " ".join(rng.choices(common_words, k=5))) for i in range(9000)] + [(9000, None), (9001, "")]
